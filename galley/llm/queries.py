@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from galley.llm.boilerplate import furniture_lines
 from galley.llm.near_duplicates import near_duplicates
 from galley.llm.packing import pack
 from galley.llm.repeated_lines import repeated_blocks, repeated_lines, without_lines
+from galley.llm.residue import residue
 from galley.llm.splitting import split_oversized
 from galley.llm.tokens import encode, token_counts
 from galley.operators.timestamps import sender_address
@@ -40,6 +42,20 @@ def p4_pieces(spark: SparkSession, root: str) -> DataFrame:
     return _pieces(spark, root)
 
 
+def p5_found(spark: SparkSession, root: str) -> DataFrame:
+    """The lines of page furniture: section_id, line_no."""
+    found = furniture_lines(table(spark, root, "email_sections").select("id", "email_id", "heading", "text"), table(spark, root, "emails").select("id", "sender"))
+    return found.select(F.col("id").alias("section_id"), "line_no")
+
+
+def p5_texts(spark: SparkSession, root: str) -> DataFrame:
+    """The main body of every section: section_id, n_chars_before, n_chars_after, text."""
+    sections = table(spark, root, "email_sections").select("id", "email_id", "heading", "text")
+    found = furniture_lines(sections, table(spark, root, "emails").select("id", "sender"))
+    kept = without_lines(sections.select("id", "text", F.length("text").alias("before")), "id", "text", found)
+    return kept.select(F.col("id").alias("section_id"), F.col("before").alias("n_chars_before"), F.length("text").alias("n_chars_after"), "text")
+
+
 def _senders(spark: SparkSession, root: str) -> DataFrame:
     return table(spark, root, "emails").select(F.col("id").alias("doc"), sender_address(F.col("sender")).alias("src"))
 
@@ -75,15 +91,29 @@ def p8_containers(spark: SparkSession, root: str) -> DataFrame:
     return pack(token_counts(table(spark, root, "documents"), "doc_id", "text"), "doc_id", "n_tokens", CAPACITY)
 
 
+def p9_found(spark: SparkSession, root: str) -> DataFrame:
+    """The documents that are residue: doc_id."""
+    return residue(table(spark, root, "documents")).select("doc_id").distinct()
+
+
+def p9_kinds(spark: SparkSession, root: str) -> DataFrame:
+    """The documents that are residue, with the kind: doc_id, kind."""
+    return residue(table(spark, root, "documents"))
+
+
 QUERIES = {
     "p1_found": p1_found,
     "p4_found": p4_found,
     "p4_pieces": p4_pieces,
+    "p5_found": p5_found,
+    "p5_texts": p5_texts,
     "p6_found": p6_found,
     "p6_blocks": p6_blocks,
     "p6_texts": p6_texts,
     "p7_ids": p7_ids,
     "p8_containers": p8_containers,
+    "p9_found": p9_found,
+    "p9_kinds": p9_kinds,
 }
 
 # The white space that a text may carry at its ends, and the address of a sender, as SQL.
