@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from galley.plans import general_queries
+from galley.plans import general_queries, html_queries, section_queries, state_queries
 
-_MODULES = (general_queries,)
+_MODULES = (general_queries, section_queries, html_queries, state_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -20,4 +20,4 @@ def oracle_sql() -> dict[str, str]:
 
 
 def flagship(spark: SparkSession, root: str) -> DataFrame:
-    return general_queries.p2_nodes(spark, root)
+    return html_queries.entry_audit(spark, root)
