@@ -157,15 +157,22 @@ def _epoch(text: Column) -> Column:
 
 
 def readings(df: DataFrame, text: str, sender: str, registry: DataFrame, taken_at: str | None = None) -> DataFrame:
-    """``df`` with source domain, tz, order, fields and the instants of both readings (``us_dmy``, ``us_mdy``)."""
+    """Source domain, tz, order, form and the instants of both readings (``_dmy``, ``_mdy``), beside the packed row.
+
+    The input row travels as one struct, so no name of it can clash.
+    """
+    taken = F.unix_micros(F.col(taken_at).cast("timestamp")) if taken_at else F.lit(None).cast("long")
     reg = registry.groupBy(F.lower("domain").alias("_dom")).agg(F.min("tz").alias("_tz"), F.min(F.upper("date_order")).alias("_order"))
-    x = df.withColumn("_text", F.regexp_replace(F.col(text), r"(?U)^[\s\u0000-\u001f﻿​]+|[\s\u0000-\u001f﻿​]+$", ""))
-    x = x.withColumn("_dom", sender_domain(F.col(sender)))
+    x = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row"), strip_text(F.col(text)).alias("_text"), sender_domain(F.col(sender)).alias("_dom"), taken.alias("_taken"))
     x = x.join(reg, "_dom", "left").withColumn("_a", _split_fields(F.col("_text"))).withColumn("_epoch", _epoch(F.col("_text")))
     x = _with_fields(x).withColumn("_slash", F.coalesce(F.col("_form") == "slash", F.lit(False)))
     x = x.withColumn("_mdy", _instant("_p", "_q")).withColumn("_dmy", F.when(F.col("_slash"), _instant("_q", "_p")).otherwise(F.col("_mdy")))
-    taken = F.unix_micros(F.col(taken_at)) if taken_at else F.lit(None).cast("long")
-    return x.withColumn("_taken", taken).drop("_a", "_y", "_p", "_q", "_h", "_mi", "_us", "_low", "_zone", "_offset", "_in", "_real", "_text")
+    return x.select("_row", "_dom", "_order", "_form", "_epoch", "_slash", "_mdy", "_dmy", "_taken")
+
+
+def strip_text(c: Column) -> Column:
+    """Without white space and control characters of any kind at both ends."""
+    return F.regexp_replace(c, r"(?U)^[\s\x{0}-\x{1f}\x{feff}\x{200b}]+|[\s\x{0}-\x{1f}\x{feff}\x{200b}]+$", "")
 
 
 def _delay_class(us: Column, taken: Column) -> Column:
@@ -196,8 +203,8 @@ def order_posteriors(read: DataFrame) -> DataFrame:
 
 
 def normalize(df: DataFrame, text: str, sender: str, registry: DataFrame, taken_at: str | None = None) -> DataFrame:
-    """Adds ``utc_us``, ``reading``, ``posterior`` and ``ambiguous`` to the rows of ``df``."""
-    kept = df.columns
+    """Adds ``utc_us``, ``reading``, ``posterior`` and ``ambiguous`` to the rows of ``df``; columns of these names are replaced."""
+    kept = [f"_row.`{c}`" for c in df.columns if c not in ("utc_us", "reading", "posterior", "ambiguous")]
     # the readings feed both the EM and the choice: parsed once, kept in the shared scratch folder
     x = materialize(readings(df, text, sender, registry, taken_at), "readings")
     post = order_posteriors(x)

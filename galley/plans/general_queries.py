@@ -47,4 +47,12 @@ def p3_readings(spark: SparkSession, root: str) -> DataFrame:
 
 
 QUERIES = {"p2_found": p2_found, "p2_nodes": p2_nodes, "p3_found": p3_found, "p3_readings": p3_readings}
-ORACLE: dict[str, str] = {}
+
+# Payloads without what is around them: twice, as a fence may stand in a string and a string in a fence.
+_TRIM = r"regexp_replace({0}, '^[\s\x{{feff}}]+|[\s\x{{feff}}]+$', '', 'g')"
+_PEEL = r"""CASE WHEN regexp_matches({0}, '(?s)^```[A-Za-z0-9]*\s*.*?\s*```$') THEN regexp_extract({0}, '(?s)^```[A-Za-z0-9]*\s*(.*?)\s*```$', 1) WHEN starts_with({0}, '"') AND json_valid({0}) THEN json_extract_string({0}, '$') ELSE {0} END"""
+ORACLE = {
+    "p2_found": f"""WITH a AS (SELECT id, {_TRIM.format("payload")} AS p FROM agent_outputs), b AS (SELECT id, {_TRIM.format(_PEEL.format("p"))} AS p FROM a), c AS (SELECT id, {_TRIM.format(_PEEL.format("p"))} AS p FROM b),
+        j AS (SELECT id, CASE WHEN json_valid(p) THEN p END AS p FROM c), t AS (SELECT j.id, regexp_replace(x.fullkey, '^\\$\\.?', '') AS node_path FROM j, json_tree(j.p::JSON) x WHERE j.p IS NOT NULL AND x.type = 'OBJECT' AND x.fullkey <> '$')
+        SELECT id AS output_id, node_path, regexp_replace(node_path, '(\\.?[^.\\[\\]]+)?(\\[\\d+\\])*$', '') AS parent_path FROM t""",
+}
