@@ -49,29 +49,40 @@ def is_promo(keywords=rules.PROMO_KEYWORDS, least: int = 2) -> Column:
     return hits(F.lower(F.concat_ws(" ", F.when(h != "", h), F.when(t != "", t))), keywords) >= least
 
 
-def interrupt(index: Column, total: Column, footer=rules.FOOTER_PHRASES, navigation=rules.NAVIGATION_PHRASES, subscription=rules.SUBSCRIPTION_PHRASES, promo=rules.PROMO_KEYWORDS) -> Column:
-    """STRUCT(role, rule): the first rule that holds, in the order footer, navigation, subscription, promo, unknown, normal."""
+def interrupt_parts(footer=rules.FOOTER_PHRASES, navigation=rules.NAVIGATION_PHRASES, subscription=rules.SUBSCRIPTION_PHRASES, promo=rules.PROMO_KEYWORDS) -> dict[str, Column]:
+    """What the interrupt rules need of heading, text and links: ``sure`` (a rule that comes first, or null),
+    ``light`` (short and with two links, which counts at the bottom) and ``rest`` (the rule of all others).
+
+    None of it needs the section's place, so a window over places need not carry texts.
+    """
     text, head = combined(), F.lower(strip(text_of("heading")))
     n = F.length(text_of("text"))
     raw = F.coalesce(F.col("links"), F.array().cast("array<string>"))
     n_https = F.size(F.filter(raw, lambda u: u.startswith("https://")))
     found = hits(text, promo)
-    strong = any_of(head, rules.PROMO_HEADINGS) | any_of(text, rules.PROMO_BODIES) | any_of(head, rules.SPONSOR_FRAGMENTS)
-    row = lambda role, rule: F.struct(F.lit(role).alias("role"), F.lit(rule).alias("rule"))
-    return (
-        F.when(any_of(text, footer), row("footer", "footer:unsubscribe_phrase"))
-        .when(text.rlike(rules.COPYRIGHT_PATTERN), row("footer", "footer:copyright"))
-        .when((total > 0) & (index >= F.floor(total * F.lit(0.9))) & (n < 400) & (n_https >= 2), row("footer", "footer:bottom_tenth_link_heavy"))
-        .when(any_of(text, navigation) & (n < 200) & ((n_https >= 1) | (n < 120)), row("navigation", "navigation:phrase_match"))
-        .when(any_of(text, subscription) & (n <= 600) & (F.exists(raw, lambda u: F.contains(u, F.lit("substack.com"))) | (n < 350)), row("subscription_cta", "subscription_cta:phrase_match"))
-        .when(any_of(head, rules.PROMO_HEADINGS), row("promo", "promo:strong_heading_marker"))
-        .when(any_of(text, rules.PROMO_BODIES), row("promo", "promo:body_marker"))
-        .when(any_of(head, rules.SPONSOR_FRAGMENTS), row("promo", "promo:sponsor_class_substring"))
-        .when(found == 1, row("unknown_interrupt", "unknown_interrupt:single_promo_keyword"))
-        .when((found >= 2) & ~strong, row("unknown_interrupt", "unknown_interrupt:multi_promo_keyword"))
-        .when((n < 80) & (n_https >= 2), row("unknown_interrupt", "unknown_interrupt:short_link_heavy"))
-        .otherwise(row("normal_content", "normal_content:default"))
+    sure = F.when(any_of(text, footer), "footer:unsubscribe_phrase").when(text.rlike(rules.COPYRIGHT_PATTERN), "footer:copyright")
+    rest = (
+        F.when(any_of(text, navigation) & (n < 200) & ((n_https >= 1) | (n < 120)), "navigation:phrase_match")
+        .when(any_of(text, subscription) & (n <= 600) & (F.exists(raw, lambda u: F.contains(u, F.lit("substack.com"))) | (n < 350)), "subscription_cta:phrase_match")
+        .when(any_of(head, rules.PROMO_HEADINGS), "promo:strong_heading_marker")
+        .when(any_of(text, rules.PROMO_BODIES), "promo:body_marker")
+        .when(any_of(head, rules.SPONSOR_FRAGMENTS), "promo:sponsor_class_substring")
+        .when(found == 1, "unknown_interrupt:single_promo_keyword")
+        .when(found >= 2, "unknown_interrupt:multi_promo_keyword")
+        .when((n < 80) & (n_https >= 2), "unknown_interrupt:short_link_heavy")
+        .otherwise("normal_content:default")
     )
+    return {"sure": sure, "light": (n < 400) & (n_https >= 2), "rest": rest}
+
+
+def interrupt_rule(sure: Column, light: Column, rest: Column, index: Column, total: Column) -> Column:
+    """The first rule that holds, in the order footer, navigation, subscription, promo, unknown, normal."""
+    bottom = (total > 0) & (index >= F.floor(total * F.lit(0.9))) & light
+    return F.when(sure.isNotNull(), sure).when(bottom, "footer:bottom_tenth_link_heavy").otherwise(rest)
+
+
+def role_of(rule: Column) -> Column:
+    return F.substring_index(rule, ":", 1)
 
 
 def is_strippable(role: Column) -> Column:
@@ -152,6 +163,22 @@ def story_path(url: Column, hosts: Iterable[str] | None = None, excluded: Iterab
     return F.when(ok & (host != ""), F.concat(host, path))
 
 
+def story_paths(links: Column, hosts: Iterable[str] | None = None, excluded: Iterable[str] = (), patterns: Iterable[str] = (r"^/[^/]+/[^/]+$",)) -> Column:
+    """``story_path`` of each link of an array, in stages: every part of a link is taken out once."""
+    clean = F.transform(F.coalesce(links, F.array().cast("array<string>")), without_tracking)
+    parts = F.transform(clean, lambda u: F.struct(F.lower(url_part(u, "HOST")).alias("h"), F.regexp_replace(F.lower(url_part(u, "PATH")), r"/+$", "").alias("p")))
+
+    def path(x: Column) -> Column:
+        ok = (x["h"] != "") & (x["p"] != "") & reduce(lambda a, b: a | b, [x["p"].rlike(p) for p in patterns])
+        if hosts is not None:
+            ok &= x["h"].isin(*hosts)
+        for e in excluded:
+            ok &= ~x["p"].startswith(e)
+        return F.when(ok, F.concat(x["h"], x["p"]))
+
+    return F.transform(parts, path)
+
+
 def unwrapped_link(url: Column, hosts: Iterable[str], markers: Iterable[str] = ("/http",), keys: Iterable[str] = ("url", "u", "redirect")) -> Column:
     """The target inside a click tracker's link: percent-decoded from its path or a query key; else the link itself."""
     u = F.coalesce(strip(url), F.lit(""))

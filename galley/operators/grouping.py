@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from galley.functions import rules
-from galley.functions.predicates import https, interrupt, is_promo, is_recap_heading, is_strippable, is_teaser, story_path, strip, text_of
+from galley.functions.predicates import https, interrupt_parts, interrupt_rule, is_promo, is_recap_heading, is_strippable, is_teaser, role_of, story_paths, strip, text_of
 
 
 def _by_email():
@@ -34,9 +34,11 @@ def positioned(sections: DataFrame) -> DataFrame:
 
 
 def with_roles(sections: DataFrame, **phrases) -> DataFrame:
-    """Adds role and rule of every section; both come from one expression."""
-    x = positioned(sections).withColumn("_d", interrupt(F.col("position"), F.col("n_sections"), **phrases))
-    return x.withColumn("role", F.col("_d.role")).withColumn("rule", F.col("_d.rule")).drop("_d")
+    """Adds position, n_sections, role and rule of every section; texts are looked at before the window, not in it."""
+    parts = interrupt_parts(**phrases)
+    x = positioned(sections.withColumns({f"_{k}": c for k, c in parts.items()}))
+    x = x.withColumn("rule", interrupt_rule(F.col("_sure"), F.col("_light"), F.col("_rest"), F.col("position"), F.col("n_sections")))
+    return x.withColumn("role", role_of(F.col("rule"))).drop("_sure", "_light", "_rest")
 
 
 def recap_split(sections: DataFrame, **phrases) -> DataFrame:
@@ -56,19 +58,17 @@ def runs(sections: DataFrame, keywords=rules.PROMO_KEYWORDS) -> DataFrame:
 
 def grouping_decision(sections: DataFrame, keywords=rules.PROMO_KEYWORDS) -> DataFrame:
     """Per email: n_plain (not promotional), n_urls, n_chars, numbered, ambiguous and the reasons."""
-    plain = ~is_promo(keywords)
-    numbered = plain & F.coalesce(strip(F.col("heading")).rlike(rules.NUMBERED_PATTERN), F.lit(False))
     head = strip(text_of("heading"))
-    links = F.explode_outer(F.when(plain, F.array_distinct(https(F.col("links")))))
-    x = sections.select("email_id", "id", plain.alias("plain"), F.length(text_of("text")).alias("n"), numbered.alias("numbered"), F.when(plain & (F.length(head) > 3), head).alias("head"), F.col("links"), F.col("heading"), F.col("text"))
-    urls = sections.select("email_id", links.alias("url")).groupBy("email_id").agg(F.count_distinct("url").alias("n_urls"))
+    x = sections.select("email_id", (~is_promo(keywords)).alias("plain"), F.length(text_of("text")).alias("n"), head.alias("head"), F.array_distinct(https(F.col("links"))).alias("urls"))
+    plain, head = F.col("plain"), F.col("head")
     per = x.groupBy("email_id").agg(
-        F.sum(F.col("plain").cast("int")).alias("n_plain"),
-        F.sum(F.when(F.col("plain"), F.col("n")).otherwise(0)).alias("n_chars"),
-        F.sum(F.col("numbered").cast("int")).alias("n_numbered"),
-        F.count("head").alias("n_heads"),
-        F.count_distinct("head").alias("n_heads_distinct"),
+        F.sum(plain.cast("int")).alias("n_plain"),
+        F.sum(F.when(plain, F.col("n")).otherwise(0)).alias("n_chars"),
+        F.sum((plain & head.rlike(rules.NUMBERED_PATTERN)).cast("int")).alias("n_numbered"),
+        F.count(F.when(plain & (F.length(head) > 3), head)).alias("n_heads"),
+        F.count_distinct(F.when(plain & (F.length(head) > 3), head)).alias("n_heads_distinct"),
     )
+    urls = x.select("email_id", F.explode_outer(F.when(plain, F.col("urls"))).alias("u")).groupBy("email_id").agg(F.count_distinct("u").alias("n_urls"))
     y = per.join(urls, "email_id")
     lo, hi = rules.GRAY_ZONE
     long_form = (F.col("n_plain") <= hi) & (F.col("n_chars") >= rules.LONG_FORM_CHARS) & (F.col("n_urls") <= 1)
@@ -82,7 +82,7 @@ def grouping_decision(sections: DataFrame, keywords=rules.PROMO_KEYWORDS) -> Dat
 def final_groups(sections: DataFrame, keywords=rules.PROMO_KEYWORDS) -> DataFrame:
     """Adds ``group_no`` in reading order: promotional sections alone, the others by run, or one each where the email has many links."""
     decided = grouping_decision(sections, keywords).select("email_id", (F.col("n_urls") >= rules.SPLIT_URLS).alias("_each"))
-    x = sections.join(decided, "email_id").withColumn("_p", is_promo(keywords))
+    x = sections.withColumn("_p", is_promo(keywords)).join(decided, "email_id")
     starts = F.col("_p") | F.col("_each") | F.coalesce(F.lag("_p").over(_by_email()), F.lit(True))
     return x.withColumn("_start", starts.cast("int")).withColumn("group_no", F.sum("_start").over(_so_far()) - 1).drop("_p", "_each", "_start")
 
@@ -180,23 +180,29 @@ def composite_hash(hashes: Column) -> Column:
 
 def story_links(sections: DataFrame, **paths) -> DataFrame:
     """email_id, id, place, path: the story path of each link that has one."""
-    x = sections.select("email_id", "id", F.posexplode("links").alias("place", "link"))
-    return x.select("email_id", "id", "place", story_path(F.col("link"), **paths).alias("path")).where("path is not null")
+    x = sections.select("email_id", "id", F.posexplode(story_paths(F.col("links"), **paths)).alias("place", "path"))
+    return x.where("path is not null")
 
 
-def dominant_paths(sections: DataFrame, **paths) -> DataFrame:
+def dominant(links: DataFrame) -> DataFrame:
     """email_id, id, path: the path that at least half of a section's story links have; the first one on ties."""
-    n = story_links(sections, **paths).groupBy("email_id", "id", "path").agg(F.count(F.lit(1)).alias("n"), F.min("place").alias("place"))
+    n = links.groupBy("email_id", "id", "path").agg(F.count(F.lit(1)).alias("n"), F.min("place").alias("place"))
     per = n.groupBy("email_id", "id").agg(F.sum("n").alias("total"), F.max(F.struct("n", (-F.col("place")).alias("first"), "path")).alias("best"))
     return per.where(F.col("best.n") * 2 >= F.col("total")).select("email_id", "id", F.col("best.path").alias("path"))
 
 
+def dominant_paths(sections: DataFrame, **paths) -> DataFrame:
+    """``dominant`` over the story links of sections."""
+    return dominant(story_links(sections, **paths))
+
+
 def shapes(sections: DataFrame, substantive: int = rules.SUBSTANTIVE_CHARS, least_stories: int = 2, keywords=rules.PROMO_KEYWORDS, teasers=rules.TEASER_PHRASES, **paths) -> DataFrame:
     """Per email: article_chars, n_stories and shape (teaser_paywall, multi_story or single_article)."""
-    body = sections.where(~is_promo(keywords) & ~is_teaser(teasers, keywords))
-    chars = body.groupBy("email_id").agg(F.sum(F.length(text_of("text"))).alias("chars"))
-    stories = story_links(sections, **paths).select("email_id", "path").distinct()
-    blocks = dominant_paths(body, **paths).join(body.select("id", F.length(text_of("text")).alias("n")), "id").groupBy("email_id", "path").agg(F.sum("n").alias("n"))
+    flagged = sections.select("email_id", "id", F.length(text_of("text")).alias("n"), (~is_promo(keywords) & ~is_teaser(teasers, keywords)).alias("body"))
+    links = story_links(sections, **paths)
+    chars = flagged.where("body").groupBy("email_id").agg(F.sum("n").alias("chars"))
+    stories = links.select("email_id", "path").distinct()
+    blocks = dominant(links).join(flagged.where("body").select("id", "n"), "id").groupBy("email_id", "path").agg(F.sum("n").alias("n"))
     strong = stories.join(blocks, ["email_id", "path"], "left").groupBy("email_id").agg(F.count(F.lit(1)).alias("n_stories"), F.bool_and(F.coalesce(F.col("n") >= substantive, F.lit(False))).alias("strong"))
     x = sections.select("email_id").distinct().join(chars, "email_id", "left").join(strong, "email_id", "left")
     article, n = F.coalesce("chars", F.lit(0)), F.coalesce("n_stories", F.lit(0))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from galley.functions.html_parse import parse_pages
-from galley.functions.predicates import escaped, html_problems, interrupt, is_strippable, repaired_html
+from galley.functions.predicates import escaped, html_problems, interrupt_parts, interrupt_rule, is_strippable, repaired_html, role_of
 from galley.session import table
 
 
@@ -44,12 +44,12 @@ def p01_digests(spark, root):
 
 def entry_audit(spark, root):
     """Pages to sections to interrupt roles to one row per email: the audit, from source to aggregate."""
-    from pyspark.sql.window import Window
-
-    x = parse_pages(mail_pages(spark, root), "email_id", "html").select("email_id", F.explode("sections").alias("s")).select("email_id", "s.*")
-    w = Window.partitionBy("email_id")
-    d = x.withColumn("n", F.count(F.lit(1)).over(w)).withColumn("d", interrupt(F.col("order_index"), F.col("n")))
-    hide, chars = is_strippable(F.col("d.role")), F.length("text")
+    x = parse_pages(mail_pages(spark, root), "email_id", "html")
+    # the number of an email's sections is the size of its array: no window is needed
+    s = x.select("email_id", F.size("sections").alias("n"), F.explode("sections").alias("s")).select("email_id", "n", "s.*")
+    p = interrupt_parts()
+    d = s.withColumn("role", role_of(interrupt_rule(p["sure"], p["light"], p["rest"], F.col("order_index"), F.col("n"))))
+    hide, chars = is_strippable(F.col("role")), F.length("text")
     per = d.groupBy("email_id").agg(F.count(F.lit(1)).alias("n_sections"), F.sum(F.when(hide, 0).otherwise(chars)).alias("article_chars"), F.sum(F.when(hide, chars).otherwise(0)).alias("hidden_chars"))
     against = F.when(F.col("article_chars") < 200, "empty_body").when(F.col("hidden_chars") > F.col("article_chars"), "promo_dominated")
     return per.withColumn("counter_evidence", against)
