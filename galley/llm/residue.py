@@ -150,11 +150,25 @@ _INLINE = re.compile(r"`[^`\n]*`")
 _QUOTED = re.compile(r"[\"“'‘]\s*(?:" + MARKERS.pattern + r")\s*[\"”'’]")
 _EMPTY = re.compile(r"\[object Object\]|\b(?:None|NaN|undefined|null|NONE|NAN|UNDEFINED|NULL|none|nan)\b|\[OBJECT OBJECT\]")
 _OBJECT = re.compile(r"(?<![\"“'‘])\[object Object\](?![\"”'’])", re.I)
-_WORD = re.compile(r"(?<![^\W_])[^\W\d_]+(?![^\W_])")  # runs of letters; runs with digits are numbers and codes
+_RUN = re.compile(r"[^\W_]+")
+#: A text without any of these has no marker; looking for them costs much less than the patterns.
+_OPENERS = ("{", "<%", "%%", "*|", "[[", "<<", "@@", "__", "%(")
 _SENTENCES = re.compile(r"(?<=[.!?…])\s+")
 _SENTENCE_END = re.compile(r"[.!?…。！？]['\"”’)\]]*\s*$")
 
 
+def words_of(text: str) -> list[str]:
+    """The words of a text in lower case: runs of letters; runs with digits are numbers and codes."""
+    return [w for w in _RUN.findall(text.lower()) if w.isalpha()]
+
+
+def may_hold_marker(text: str) -> bool:
+    if any(x in text for x in _OPENERS):
+        return True
+    low = text.lower()
+    return "todo:" in low or "insert" in low or ("your" in low and "[" in low)
+
+
 def exemplars() -> list[tuple[str, list[str], int]]:
     """(kind, words, places) of every labelled exemplar."""
     out = []
@@ -188,6 +202,7 @@ class ResidueIndex:
                 if left < 0:
                     break
         self.latin, self.typed = set(LATIN.split()), set(TYPED.split())
+        self.keys = set(self.index) | self.latin | self.typed
         self.around = {p.strip() for p in AROUND.replace("\n", " ").split(";")}
 
     def match(self, words: list[str]) -> str | None:
@@ -212,49 +227,68 @@ class ResidueIndex:
         n = len(words)
         return (n >= 6 and sum(w in self.latin for w in words) >= 0.7 * n and len(set(words) & self.latin) >= 5) or (n >= 4 and sum(w in self.typed for w in words) >= 0.75 * n)
 
+    def passage(self, text: str, words: list[str], valueless: bool) -> str | None:
+        """The kind of a line or sentence."""
+        kind = self.match(words)
+        if kind is None and valueless and _EMPTY.search(text):
+            kind = self.match(words_of(_EMPTY.sub(" emptyvalue ", text)))
+        return "filler" if kind is None and self.filler(words) else kind
+
+    def is_around(self, text: str, words: list[str]) -> bool:
+        """A short line that may stand around a notice."""
+        if not words or text.startswith("©") or (words[0] == "search" and len(words) <= 4):
+            return True
+        return len(words) <= 6 and (" ".join(words) in self.around or all(w in self.around for w in words))
+
     def classify(self, text: str) -> str | None:
         """The kind of residue of a text, None for a real one."""
         shown = _FENCE.sub("\n", text) if "```" in text or "~~~" in text else text
         if "`" in shown:
             shown = _INLINE.sub(" ", shown)
-        plain = _QUOTED.sub(" ", shown)
-        for m in MARKERS.finditer(plain):
-            if not _DUNDER.fullmatch(m.group()):
-                return "marker"
-        if _OBJECT.search(plain):
-            return "empty"
+        if may_hold_marker(shown):
+            plain = _QUOTED.sub(" ", shown)
+            for m in MARKERS.finditer(plain):
+                if not _DUNDER.fullmatch(m.group()):
+                    return "marker"
+        if "bject" in shown or "BJECT" in shown:
+            if _OBJECT.search(shown):
+                return "empty"
+        valueless = bool(_EMPTY.search(shown))
         found: set[str] = set()
         story = titles = notices = 0
         for line in shown.split("\n"):
             bare = line.strip()
             if not bare:
                 continue
-            raw = _EMPTY.sub(" emptyvalue ", bare)
-            words = [w.lower() for w in _WORD.findall(raw)]
-            plain_words = [w.lower() for w in _WORD.findall(bare)]
-            kind = self.match(plain_words) or (self.match(words) if raw != bare else None)
-            if kind is None and self.filler(plain_words):
-                kind = "filler"
+            ends = bool(_SENTENCE_END.search(bare))
+            words = words_of(bare)
+            if self.keys.isdisjoint(words) and not (valueless and _EMPTY.search(bare)):
+                # nothing to look up: a passage of the text's own
+                if self.is_around(bare, words):
+                    continue
+                if not ends and (len(words) <= 12 or (len(words) <= 14 and len(_SENTENCES.split(bare)) == 1)):
+                    titles += 1
+                else:
+                    story += 1
+                continue
+            kind = self.passage(bare, words, valueless)
             if kind == "error":
                 notices += 1
                 continue
             if kind:
                 found.add(kind)
                 continue
-            parts = [p for p in _SENTENCES.split(bare) if p.strip()] if _SENTENCE_END.search(bare) or len(plain_words) > 12 else [bare]
+            parts = [p for p in _SENTENCES.split(bare) if p.strip()] if ends or len(words) > 12 else [bare]
             for p in parts:
-                whole = _EMPTY.sub(" emptyvalue ", p)
-                w = [x.lower() for x in _WORD.findall(p)]
-                k = (self.match(w) or (self.match([x.lower() for x in _WORD.findall(whole)]) if whole != p else None) or ("filler" if self.filler(w) else None)) if len(parts) > 1 else None
+                w = words_of(p) if len(parts) > 1 else words
+                k = self.passage(p, w, valueless) if len(parts) > 1 else None
                 if k == "error":
                     notices += 1
                 elif k:
                     found.add(k)
-                elif not w or " ".join(w) in self.around:
-                    continue
-                elif bare.startswith("©") or (w[0] == "search" and len(w) <= 4) or (len(w) <= 6 and all(x in self.around for x in w)):
+                elif self.is_around(p, w):
                     continue
-                elif len(w) <= 14 and not _SENTENCE_END.search(p) and len(parts) == 1:
+                elif len(w) <= 14 and len(parts) == 1 and not ends:
                     titles += 1
                 else:
                     story += 1
@@ -284,6 +318,7 @@ def residue(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     slim = df.select(F.col(key).cast("long").alias("k"), F.col(text).cast("string").alias("t")).where(F.col(text).isNotNull())
     # document frequencies over the whole corpus, of the words of the exemplars only: a bounded table
     words = vocabulary()
-    counts = slim.select(F.explode(F.array_intersect(F.split(F.lower("t"), r"[^\p{L}]+"), F.array(*[F.lit(w) for w in words]))).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n"))
+    found = slim.select(F.explode(F.array_distinct(F.split(F.lower("t"), r"[^\p{L}]+"))).alias("w")).where(F.col("w").isin(words))
+    counts = found.groupBy("w").agg(F.count(F.lit(1)).alias("n"))
     frequency = {r["w"]: r["n"] for r in counts.collect()}
     return slim.mapInArrow(_classify(frequency, slim.count()), "k long, kind string").withColumnRenamed("k", key)
