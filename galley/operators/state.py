@@ -66,6 +66,12 @@ def latest(log: DataFrame, keys: list[str], order: str = "id") -> DataFrame:
     return log.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
 
 
+def positioned_listing(sections: DataFrame) -> DataFrame:
+    """The sections of each email in order: email_id, section_id, section_key, position."""
+    w = Window.partitionBy("email_id").orderBy("order_index", "id")
+    return sections.select("email_id", F.col("id").alias("section_id"), "section_key", (F.row_number().over(w) - 1).alias("position"))
+
+
 def latest_outputs(log: DataFrame, sections: DataFrame) -> DataFrame:
     """Latest output per (email, section, unit, kind) with its section's key, order and heading."""
     top = latest(log, ["email_id", "email_section_id", "content_unit_key", "kind"])
