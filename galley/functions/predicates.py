@@ -28,6 +28,17 @@ def hits(c: Column, phrases: Iterable[str]) -> Column:
     return reduce(lambda a, b: a + b, [F.contains(c, F.lit(p)).cast("int") for p in phrases])
 
 
+def bound(c: Column, f) -> Column:
+    """``f`` of the value of ``c``, which is computed once however often ``f`` uses it, in filters too."""
+    return F.get(F.transform(F.array(c), f), F.lit(0))
+
+
+def lowered() -> Column:
+    """Heading and text as they are, in lower case, joined by a blank."""
+    h, t = text_of("heading"), text_of("text")
+    return F.lower(F.concat_ws(" ", F.when(h != "", h), F.when(t != "", t)))
+
+
 def text_of(c: str | Column) -> Column:
     return F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit(""))
 
@@ -38,6 +49,10 @@ def combined(heading: str = "heading", text: str = "text") -> Column:
     return F.lower(F.concat_ws(" ", F.when(h != "", h), F.when(t != "", t)))
 
 
+def lowered_heading(heading: str = "heading") -> Column:
+    return F.lower(strip(text_of(heading)))
+
+
 def https(links: Column) -> Column:
     """The stripped https links, in order."""
     return F.filter(F.transform(F.coalesce(links, F.array().cast("array<string>")), strip), lambda u: u.startswith("https://"))
@@ -45,17 +60,16 @@ def https(links: Column) -> Column:
 
 def is_promo(keywords=rules.PROMO_KEYWORDS, least: int = 2) -> Column:
     """At least ``least`` of the keywords stand in heading and text (joined as they are)."""
-    h, t = text_of("heading"), text_of("text")
-    return hits(F.lower(F.concat_ws(" ", F.when(h != "", h), F.when(t != "", t))), keywords) >= least
+    return bound(lowered(), lambda t: hits(t, keywords) >= least)
 
 
-def interrupt_parts(footer=rules.FOOTER_PHRASES, navigation=rules.NAVIGATION_PHRASES, subscription=rules.SUBSCRIPTION_PHRASES, promo=rules.PROMO_KEYWORDS) -> dict[str, Column]:
+def interrupt_parts(text: Column, head: Column, footer=rules.FOOTER_PHRASES, navigation=rules.NAVIGATION_PHRASES, subscription=rules.SUBSCRIPTION_PHRASES, promo=rules.PROMO_KEYWORDS) -> dict[str, Column]:
     """What the interrupt rules need of heading, text and links: ``sure`` (a rule that comes first, or null),
     ``light`` (short and with two links, which counts at the bottom) and ``rest`` (the rule of all others).
 
-    None of it needs the section's place, so a window over places need not carry texts.
+    ``text`` and ``head`` are columns of ``combined()`` and ``lowered_heading()``.  None of it needs the section's place, so a
+    window over places need not carry texts.
     """
-    text, head = combined(), F.lower(strip(text_of("heading")))
     n = F.length(text_of("text"))
     raw = F.coalesce(F.col("links"), F.array().cast("array<string>"))
     n_https = F.size(F.filter(raw, lambda u: u.startswith("https://")))
@@ -96,9 +110,8 @@ def is_recap_heading(heading: Column, exact=rules.RECAP_EXACT, parts=rules.RECAP
 
 def is_teaser(phrases=rules.TEASER_PHRASES, keywords=rules.PROMO_KEYWORDS) -> Column:
     """A teaser phrase, or a promotional section below 600 characters."""
-    h, t = text_of("heading"), text_of("text")
-    both = F.lower(F.concat_ws(" ", F.when(h != "", h), F.when(t != "", t)))
-    return any_of(both, phrases) | (is_promo(keywords) & (F.length(t) < 600))
+    short = F.length(text_of("text")) < 600
+    return bound(lowered(), lambda t: any_of(t, phrases) | ((hits(t, keywords) >= 2) & short))
 
 
 def url_part(url: Column, part: str) -> Column:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from galley.functions import rules
-from galley.functions.predicates import https, interrupt_parts, interrupt_rule, is_promo, is_recap_heading, is_strippable, is_teaser, role_of, story_paths, strip, text_of
+from galley.functions.predicates import combined, https, interrupt_parts, interrupt_rule, is_promo, is_recap_heading, is_strippable, is_teaser, lowered_heading, role_of, story_paths, strip, text_of
 
 
 def _by_email():
@@ -35,8 +35,9 @@ def positioned(sections: DataFrame) -> DataFrame:
 
 def with_roles(sections: DataFrame, **phrases) -> DataFrame:
     """Adds position, n_sections, role and rule of every section; texts are looked at before the window, not in it."""
-    parts = interrupt_parts(**phrases)
-    x = positioned(sections.withColumns({f"_{k}": c for k, c in parts.items()}))
+    y = sections.withColumns({"_text": combined(), "_head": lowered_heading()})
+    parts = interrupt_parts(F.col("_text"), F.col("_head"), **phrases)
+    x = positioned(y.withColumns({f"_{k}": c for k, c in parts.items()}).drop("_text", "_head"))
     x = x.withColumn("rule", interrupt_rule(F.col("_sure"), F.col("_light"), F.col("_rest"), F.col("position"), F.col("n_sections")))
     return x.withColumn("role", role_of(F.col("rule"))).drop("_sure", "_light", "_rest")
 

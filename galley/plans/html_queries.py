@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from galley.functions.html_parse import parse_pages
-from galley.functions.predicates import escaped, html_problems, interrupt_parts, interrupt_rule, is_strippable, repaired_html, role_of
+from galley.functions.predicates import combined, escaped, html_problems, interrupt_parts, interrupt_rule, is_strippable, lowered_heading, repaired_html, role_of
 from galley.session import table
 
 
@@ -47,7 +47,8 @@ def entry_audit(spark, root):
     x = parse_pages(mail_pages(spark, root), "email_id", "html")
     # the number of an email's sections is the size of its array: no window is needed
     s = x.select("email_id", F.size("sections").alias("n"), F.explode("sections").alias("s")).select("email_id", "n", "s.*")
-    p = interrupt_parts()
+    s = s.withColumns({"_text": combined(), "_head": lowered_heading()})
+    p = interrupt_parts(F.col("_text"), F.col("_head"))
     d = s.withColumn("role", role_of(interrupt_rule(p["sure"], p["light"], p["rest"], F.col("order_index"), F.col("n"))))
     hide, chars = is_strippable(F.col("role")), F.length("text")
     per = d.groupBy("email_id").agg(F.count(F.lit(1)).alias("n_sections"), F.sum(F.when(hide, 0).otherwise(chars)).alias("article_chars"), F.sum(F.when(hide, chars).otherwise(0)).alias("hidden_chars"))

@@ -81,7 +81,7 @@ def d02_allowlist(spark, root):
 
 
 def d03_promo(spark, root):
-    return _sections(spark, root).select(F.col("id").alias("section_id"), P.hits(F.lower(F.concat_ws(" ", F.when(F.col("heading") != "", F.col("heading")), F.col("text"))), PROMO).cast("long").alias("hits"), P.is_promo(PROMO).alias("promo"))
+    return _sections(spark, root).select(F.col("id").alias("section_id"), P.bound(P.lowered(), lambda t: P.hits(t, PROMO)).cast("long").alias("hits"), P.is_promo(PROMO).alias("promo"))
 
 
 def d04_roles(spark, root):
