@@ -10,12 +10,13 @@ from pyspark.sql import functions as F
 
 from galley.functions import rules
 
-BLANK = r"(?U)^\s+|\s+$"
+# Fixed value: the characters that count as white space at the ends of a text.
+BLANK = "".join(map(chr, (*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 
 
 def strip(c: Column) -> Column:
-    """Without white space of any kind at both ends (``trim`` knows only blanks)."""
-    return F.regexp_replace(c, BLANK, "")
+    """Without white space of any kind at both ends (a plain ``trim`` knows only blanks)."""
+    return F.btrim(c, F.lit(BLANK))
 
 
 def any_of(c: Column, phrases: Iterable[str]) -> Column:
@@ -45,8 +46,8 @@ def text_of(c: str | Column) -> Column:
 
 def combined(heading: str = "heading", text: str = "text") -> Column:
     """Heading and text in lower case, joined by one blank, blank parts left out."""
-    h, t = strip(text_of(heading)), strip(text_of(text))
-    return F.lower(F.concat_ws(" ", F.when(h != "", h), F.when(t != "", t)))
+    parts = F.transform(F.array(text_of(heading), text_of(text)), strip)
+    return F.lower(F.array_join(F.filter(parts, lambda p: p != ""), " "))
 
 
 def lowered_heading(heading: str = "heading") -> Column:
@@ -76,8 +77,8 @@ def interrupt_parts(text: Column, head: Column, footer=rules.FOOTER_PHRASES, nav
     found = hits(text, promo)
     sure = F.when(any_of(text, footer), "footer:unsubscribe_phrase").when(text.rlike(rules.COPYRIGHT_PATTERN), "footer:copyright")
     rest = (
-        F.when(any_of(text, navigation) & (n < 200) & ((n_https >= 1) | (n < 120)), "navigation:phrase_match")
-        .when(any_of(text, subscription) & (n <= 600) & (F.exists(raw, lambda u: F.contains(u, F.lit("substack.com"))) | (n < 350)), "subscription_cta:phrase_match")
+        F.when((n < 200) & ((n_https >= 1) | (n < 120)) & any_of(text, navigation), "navigation:phrase_match")
+        .when((n <= 600) & (F.exists(raw, lambda u: F.contains(u, F.lit("substack.com"))) | (n < 350)) & any_of(text, subscription), "subscription_cta:phrase_match")
         .when(any_of(head, rules.PROMO_HEADINGS), "promo:strong_heading_marker")
         .when(any_of(text, rules.PROMO_BODIES), "promo:body_marker")
         .when(any_of(head, rules.SPONSOR_FRAGMENTS), "promo:sponsor_class_substring")
