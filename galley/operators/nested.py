@@ -36,6 +36,8 @@ _FENCE = re.compile(r"\A`{3,}[^\S\r\n]*[A-Za-z0-9_+.-]*\s*(.*?)\s*`{3,}\Z", re.S
 _SPACE = " \t\r\n\f\v                 　\u0085﻿​"
 _SCALAR = re.compile(rb"\A(?:true|false|null|-?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?)\Z")
 _MAX_PEEL = 64
+#: Payload bytes that are flattened at once.
+SLICE_BYTES = 4 << 20
 
 
 def unwrap(text: str | None) -> str | None:
@@ -366,6 +368,15 @@ def _key_holders(nodes: dict, toks: np.ndarray) -> np.ndarray:
     return out
 
 
+def _slices(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch of at most ``SLICE_BYTES`` of payload, or of one row: the working arrays are many times as large."""
+    part = np.cumsum(pc.fill_null(pc.binary_length(b.column(1)), 0).to_numpy().astype(np.int64)) // SLICE_BYTES
+    edges = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), b.num_rows]
+    for lo, hi in zip(edges, edges[1:], strict=False):
+        if hi > lo:
+            yield b.slice(lo, hi - lo)
+
+
 def flatten_nested(df: DataFrame, key: str | Column, payload: str | Column, key_name: str = "output_id", with_body: bool = True) -> DataFrame:
     """One row for each JSON object below the root of ``payload``.
 
@@ -380,9 +391,10 @@ def flatten_nested(df: DataFrame, key: str | Column, payload: str | Column, key_
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = flatten_batch(b.column(0), b.column(1), with_body)
-            if out is not None:
-                yield out
+            for part in _slices(b):
+                out = flatten_batch(part.column(0), part.column(1), with_body)
+                if out is not None:
+                    yield out
 
     return slim.mapInArrow(run, NODE_SCHEMA.format(key="k")).withColumnRenamed("k", key_name)
 

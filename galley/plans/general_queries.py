@@ -22,6 +22,16 @@ def p2_nodes(spark: SparkSession, root: str) -> DataFrame:
     return nodes.select("output_id", "node_no", "parent_no", "depth", "field", "list_index", F.length("body").alias("body_chars"))
 
 
+def p2_tables(spark: SparkSession, root: str) -> DataFrame:
+    """The flat tables the payloads give: kind of output, table (path without positions), rows, and parents they hang on."""
+    nodes = flatten_nested(table(spark, root, "agent_outputs"), "id", "payload", with_body=False)
+    kinds = table(spark, root, "agent_outputs").select(F.col("id").alias("output_id"), "kind")
+    x = nodes.withColumn("table_name", F.regexp_replace("node_path", r"\[\d+\]", "")).join(kinds, "output_id")
+    # a parent is one (output, parent number): rows are first counted by it
+    per = x.groupBy("kind", "table_name", "output_id", "parent_no").agg(F.count(F.lit(1)).alias("n"))
+    return per.groupBy("kind", "table_name").agg(F.sum("n").alias("n_rows"), F.count(F.lit(1)).alias("n_parents"), F.max("n").alias("most_children"))
+
+
 def _times(spark: SparkSession, root: str) -> DataFrame:
     registry = table(spark, root, "sender_registry")
     emails = table(spark, root, "emails").select(F.lit("emails").alias("src"), "message_id", "received_at", "sender", F.col("created_at").alias("taken_at"))
@@ -46,7 +56,7 @@ def p3_readings(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
-QUERIES = {"p2_found": p2_found, "p2_nodes": p2_nodes, "p3_found": p3_found, "p3_readings": p3_readings}
+QUERIES = {"p2_found": p2_found, "p2_nodes": p2_nodes, "p2_tables": p2_tables, "p3_found": p3_found, "p3_readings": p3_readings}
 
 # Payloads without what is around them: twice, as a fence may stand in a string and a string in a fence.
 _TRIM = r"regexp_replace({0}, '^[\s\x{{feff}}]+|[\s\x{{feff}}]+$', '', 'g')"
