@@ -10,7 +10,7 @@ from galley.operators import grouping as G
 from galley.operators import routing as T
 from galley.operators import sections as N
 from galley.operators import state as R
-from galley.plans.section_queries import _DOM, _ROLES, _STRIPPABLE, NAVIGATION, PROMO, STORY
+from galley.plans.section_queries import _DOM, _PROMO, _ROLES, _STRIPPABLE, NAVIGATION, PROMO, STORY
 from galley.plans.section_queries import ORACLE as SECTION_ORACLE
 from galley.session import table
 
@@ -132,4 +132,13 @@ ORACLE = {
         SELECT email_id, CASE WHEN email_id IN (SELECT email_id FROM agent_outputs WHERE kind = 'ainews_radar_digest' AND email_section_id IS NULL) THEN 'digest' WHEN complete THEN 'sections' ELSE 'nothing' END AS reuse FROM c""",
     "q_o10_composed": "SELECT id AS digest_id, 0::BIGINT AS n_problems, true AS long_enough FROM digests",
     "q_k07_reports": rf"""{_ROLES} SELECT email_id, md5(string_agg(concat_ws(' | ', section_key, CASE WHEN {_STRIPPABLE} THEN 'hidden' ELSE 'article' END, rule, n::VARCHAR, regexp_replace(left(coalesce(text, ''), 60), '[ \t\n\x0b\f\r]+', ' ', 'g')), chr(10) ORDER BY position)) AS report_md5 FROM roles GROUP BY 1""",
+    "q_g22_resolved": f"""WITH x AS (SELECT id, email_id, section_key, order_index, {_PROMO} AS p, row_number() OVER (PARTITION BY email_id ORDER BY order_index, id) - 1 AS position FROM email_sections),
+        y AS (SELECT *, sum(p::INT) OVER (PARTITION BY email_id ORDER BY order_index, id) AS k FROM x), r AS (SELECT email_id, section_key, position, dense_rank() OVER (PARTITION BY email_id ORDER BY k) - 1 AS run_no FROM y WHERE NOT p),
+        n AS (SELECT *, count(*) OVER (PARTITION BY email_id, run_no) AS n FROM r), s AS (SELECT *, CASE WHEN n > 12 THEN 'too_many_sections' WHEN n = 3 THEN 'validation_failed' WHEN n / 5.0 < 0.75 THEN 'low_confidence' ELSE 'accepted' END AS status FROM n),
+        g AS (SELECT *, CASE WHEN status = 'accepted' THEN min(position) OVER (PARTITION BY email_id, run_no, position // 2) ELSE position END AS st FROM s)
+        SELECT email_id, run_no::INT AS run_no, section_key, (dense_rank() OVER (PARTITION BY email_id ORDER BY st) - 1)::INT AS group_no, status FROM g""",
+    "q_g10_scoped": f"""{_UNITS}, u AS (SELECT email_id, 'u' || (row_number() OVER (PARTITION BY email_id ORDER BY g) - 1) AS content_unit_key, k FROM z),
+        a AS (SELECT id, email_id, section_key, order_index, {_PROMO} AS pr FROM email_sections), b AS (SELECT *, sum(pr::INT) OVER (PARTITION BY email_id ORDER BY order_index, id) AS n FROM a),
+        run AS (SELECT email_id, list(section_key) AS keys FROM (SELECT *, dense_rank() OVER (PARTITION BY email_id ORDER BY n) AS rn FROM b WHERE NOT pr) WHERE rn = 1 GROUP BY 1)
+        SELECT email_id, content_unit_key, k AS section_keys FROM u JOIN run USING (email_id) WHERE len(list_filter(string_split(k, ','), lambda x: NOT list_contains(keys, x))) = 0""",
 }

@@ -321,3 +321,7 @@ ORACLE = {
 }
 ORACLE["q_d08_recap"] = ORACLE["q_d08_recap"].replace("AS bh FROM y", "AS bh, bool_or(b) OVER (PARTITION BY email_id) AS any_b FROM y")
 ORACLE["q_d08_recap"] = f"SELECT section_id, email_id, part, CASE WHEN any_b THEN bh END AS boundary_heading FROM ({ORACLE['q_d08_recap']})"
+ORACLE["q_n08_pack"] = f"""WITH RECURSIVE b AS (SELECT email_id, row_number() OVER (PARTITION BY email_id ORDER BY order_index, id) AS p, section_key, length({_BLOCK}) AS n FROM email_sections),
+    r AS (SELECT email_id, p, 0 AS ci, n AS len, n > 4000 AS alone FROM b WHERE p = 1
+        UNION ALL SELECT b.email_id, b.p, CASE WHEN NOT alone AND b.n <= 4000 AND len + 7 + b.n <= 4000 THEN ci ELSE ci + 1 END, CASE WHEN NOT alone AND b.n <= 4000 AND len + 7 + b.n <= 4000 THEN len + 7 + b.n ELSE b.n END, b.n > 4000 FROM r JOIN b ON b.email_id = r.email_id AND b.p = r.p + 1)
+    SELECT email_id, ci AS chunk_index, string_agg(section_key, ',' ORDER BY p) AS section_keys, max(len)::INT AS n_chars FROM r JOIN b USING (email_id, p) GROUP BY 1, 2"""

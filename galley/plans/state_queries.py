@@ -295,4 +295,21 @@ ORACLE = {
         SELECT id, email_id, kind, 'legacy_email_level_processor' AS warning FROM x WHERE email_section_id IS NULL AND content_unit_key IS NULL AND kind <> 'ainews_radar_digest'
         UNION ALL SELECT id, email_id, kind, 'unit_processor_without_classifier' FROM x WHERE content_unit_key IS NOT NULL AND NOT EXISTS (SELECT 1 FROM k WHERE k.email_id = x.email_id AND k.content_unit_key = x.content_unit_key)
         UNION ALL SELECT id, email_id, kind, CASE WHEN coalesce(cat, '') NOT IN ('TECHNOLOGY', 'RADAR', 'LEADERSHIP', 'COURSES') THEN 'invalid_category' ELSE 'category_kind_mismatch' END FROM x WHERE coalesce(cat, '') NOT IN ('TECHNOLOGY', 'RADAR', 'LEADERSHIP', 'COURSES') OR cat <> {_OF}""",
+    "q_o07_items": f"""WITH t AS (SELECT * FROM {_TOP} WHERE kind = 'radar' AND json_valid(payload)), i AS (SELECT id, email_id, CASE WHEN json_type(payload, '$.items') = 'ARRAY' THEN json_extract(payload, '$.items[*]') ELSE [] END AS l FROM t),
+            x AS (SELECT id, email_id, unnest(l) AS v, generate_subscripts(l, 1) - 1 AS place FROM i) SELECT id, email_id, place::INT AS place, json_extract_string(v, '$.entity') AS entity, json_extract_string(v, '$.url') AS url FROM x""",
+    "q_o08_card_split": """WITH i AS (SELECT id, CASE WHEN json_type(payload, '$.cards') = 'ARRAY' THEN json_extract(payload, '$.cards[*]') ELSE [] END AS l FROM agent_outputs WHERE kind = 'ainews_radar_digest' AND json_valid(payload)),
+            x AS (SELECT id, json_extract_string(unnest(l), '$.role') AS role FROM i) SELECT id, sum((role = 'top_story')::INT)::BIGINT AS n_top, sum((role = 'recap')::INT)::BIGINT AS n_recap FROM x GROUP BY 1""",
+    "q_c15_cards": """WITH i AS (SELECT id, CASE WHEN json_type(payload, '$.cards') = 'ARRAY' THEN json_extract(payload, '$.cards[*]') ELSE [] END AS l FROM agent_outputs WHERE kind = 'ainews_radar_digest' AND json_valid(payload)),
+            x AS (SELECT id, unnest(l) AS v, (generate_subscripts(l, 1) - 1)::INT AS card_no FROM i), y AS (SELECT id, card_no, json_extract_string(v, '$.role') AS r, json_extract_string(v, '$.title') AS title FROM x),
+            z AS (SELECT *, CASE WHEN r = 'top_story' AND sum((r = 'top_story')::INT) OVER w = 1 THEN 'top_story' ELSE 'recap' END AS role FROM y WINDOW w AS (PARTITION BY id ORDER BY card_no)),
+            q AS (SELECT *, sum((role = 'recap')::INT) OVER (PARTITION BY id ORDER BY card_no) AS rr FROM z), k AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY card_no) AS n FROM q WHERE role = 'top_story' OR rr <= 2)
+        SELECT id, card_no, role, title FROM k WHERE n <= 3""",
+    "q_c03_links": """WITH i AS (SELECT id, email_section_id, unnest(CASE WHEN json_type(payload, '$.items') = 'ARRAY' THEN json_extract(payload, '$.items[*]') ELSE [] END) AS v FROM agent_outputs WHERE kind = 'radar' AND json_valid(payload)),
+            u AS (SELECT id, email_section_id, list(DISTINCT json_extract_string(v, '$.url')) AS urls FROM i WHERE json_extract_string(v, '$.url') IS NOT NULL GROUP BY 1, 2)
+        SELECT u.id, len(urls) AS n_urls, concat_ws(',', CASE WHEN len(list_filter(urls, lambda x: NOT starts_with(x, 'https://'))) > 0 THEN 'not_https' END, CASE WHEN len(list_filter(urls, lambda x: NOT list_contains(coalesce(links, []), x))) > 0 THEN 'outside_allowlist' END) AS errors FROM u LEFT JOIN email_sections s ON s.id = u.email_section_id""",
+    "q_r10_profile_cache": r"""WITH p AS (SELECT *, regexp_replace(payload, '^[\s]+|[\s]+$', '', 'g') AS s FROM (SELECT *, row_number() OVER (PARTITION BY email_id, content_unit_key ORDER BY id DESC) AS r FROM agent_outputs WHERE kind = 'classifier') WHERE r = 1),
+            q AS (SELECT *, CASE WHEN regexp_matches(s, '(?s)^```[A-Za-z0-9]*\s*.*?\s*```$') THEN regexp_extract(s, '(?s)^```[A-Za-z0-9]*\s*(.*?)\s*```$', 1) ELSE s END AS j FROM p)
+        SELECT email_id, content_unit_key FROM q WHERE content_unit_key IS NOT NULL AND json_valid(j) AND json_extract_string(j, '$.routing_source') = 'sender_profile'
+            AND EXISTS (SELECT 1 FROM agent_outputs o WHERE o.email_id = q.email_id AND o.content_unit_key = q.content_unit_key AND o.kind IN ('technology', 'leadership', 'technical_longform'))""",
+    "q_d20_bands": "SELECT id, CASE WHEN c < 0.55 THEN 'fail' WHEN c < 0.75 THEN 'warn' ELSE 'process' END AS band FROM (SELECT id, TRY_CAST(json_extract_string(payload, '$.confidence') AS DOUBLE) AS c FROM agent_outputs WHERE kind IN ('classifier', 'router') AND json_valid(payload)) WHERE c IS NOT NULL",
 }
