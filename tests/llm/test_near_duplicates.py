@@ -126,3 +126,34 @@ def test_components(spark):
     got = {r.id: r.component for r in connected_components(spark.createDataFrame(chain + star, "a long, b long"), "a", "b").collect()}
     assert all(got[i] == 0 for i in range(61)) and got[101] == 100 and got[100] == 100 and all(got[600 + i] == 500 for i in range(300)) and len(got) == 61 + 2 + 301
     assert connected_components(spark.createDataFrame([], "a long, b long"), "a", "b").count() == 0
+
+
+def test_pairs_that_meet_in_long_lists_only(spark):
+    """All texts share a phrase; with this seed some pairs meet once or twice, in long lists only."""
+    rng = random.Random(6)
+    phrase = [rng.choice(WORDS) for _ in range(60)]
+    rows = []
+    for _ in range(60):
+        common = [f"c{rng.randrange(10**9)}" for _ in range(14)]
+        rows += [" ".join(phrase + common + [f"o{rng.randrange(10**9)}" for _ in range(34)]) for _ in range(2)]
+    rows = list(enumerate(rows))
+    want = brute(rows, 3, 0.5)
+    assert len(want) == 60
+    got = nd.near_duplicates(spark.createDataFrame(rows, "id long, text string"), "id", "text", 3, 0.5)
+    assert sorted(map(tuple, got.collect())) == want
+
+
+def test_blocks_of_a_list():
+    """Every pair of two components comes out once per list, whatever the blocks and the batches are."""
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    sig = rng.integers(0, 2, (9, nd.ROWS), dtype=np.uint32)
+    comp = np.arange(9) // 2
+    for blocks in (1, 3):
+        own = np.arange(9) % blocks
+        rows = sorted((key, min(o, x), max(o, x), int(o), k, int(comp[k]), sig[k].tobytes()) for key in (4, 5) for k, o in enumerate(own) for x in range(blocks))
+        whole = pa.Table.from_pylist([dict(zip(("key", "i", "j", "own", "k", "c", "sig"), r, strict=True)) for r in rows])
+        for size in (1, 2, 5, 100):
+            out = [p for b in nd._cross(1)(iter(whole.to_batches(max_chunksize=size))) for p in zip(*b.to_pydict().values(), strict=True)]
+            assert sorted(out) == sorted((a, b) for a in range(9) for b in range(a + 1, 9) if comp[a] != comp[b] for _ in (4, 5))
