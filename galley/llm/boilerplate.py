@@ -1,12 +1,15 @@
 """Main body of pages: lines of page furniture are found and told from the story.
 
-The token streams of a host's pages are compared for substrings that many
-distinct pages share.  Names and numbers differ from page to page inside one and
-the same piece of furniture, so a line enters the stream as its *frame*: its
-words with every run of uncommon words, and every word of the sender's own
-name, masked.  Suffixes are grouped by the frame they begin with (the first
-level of the suffix array, anchored at lines as furniture is cut out by
-lines), and for each repeated substring three numbers decide:
+The lines of a host's pages are compared for substrings that many distinct mails
+of that host share: lines of four words and more word for word, shorter lines
+together with a neighbour (two rounds of prefix doubling).  The threshold is a
+fixed number of the host's mails, so what a host's pages give does not depend on
+how many other pages there are.
+
+Furniture that many hosts word alike, each with its own names, is found by
+*frame* over all hosts: the words of a line with every run of uncommon words, and
+every word of the sender's own name, masked.  For each repeated frame three
+numbers decide:
 
 * how many distinct pages hold it, as a share of all pages;
 * on how many hosts it stands;
@@ -18,10 +21,10 @@ story lines by a fixed list of the words of page furniture.  A last pass over
 each page keeps the unique runs and settles what stands between: list entries
 below a furniture heading, short lines inside a menu, headings above furniture.
 
-Bounds: the common words hold at least ``WORD_SHARE`` of all pages each, the
-repeated frames at least ``FRAME_SHARE``; so there are at most (words of a page /
-WORD_SHARE) and (lines of a page / FRAME_SHARE) of them, whatever the number of
-pages.  Both are checked before they are sent to the workers.
+Bounds: the common words hold at least ``WORD_SHARE`` of all pages each, so there
+are at most (words of a page / WORD_SHARE) of them, whatever the number of pages;
+checked before they are sent to the workers.  Repeated lines are joined back by
+salted joins and never gathered.
 
 Defined results: lines are the parts between ``\\n``, counted from 0; blank
 lines are never furniture; null and empty texts give no row; sections without a
@@ -34,19 +37,21 @@ import re
 import unicodedata
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from galley.llm.repeated_lines import _keep as keep_groups
+from galley.llm.repeated_lines import repeated_groups
 from galley.operators.timestamps import sender_domain
 from galley.session import materialize
 
 WORD_SHARE, FRAME_SHARE = 0.003, 0.0002
-MIN_PAGES, MIN_HOSTS = 4, 4
+#: Distinct mails or pages, and hosts, that a repeated line stands on; words of a line that one host repeats.
+MIN_PAGES, MIN_HOSTS, MIN_WORDS = 4, 4, 4
 #: Different fillings asked for, as a share of the hosts a frame stands on.
 VARIETY = 0.4
-MAX_WORDS, MAX_FRAMES = 200_000, 500_000
+MAX_WORDS = 200_000
 
 # Lines that are page furniture on any site, as their words in lower case.
 FURNITURE = """
@@ -127,7 +132,7 @@ class LineReader:
         self.gapped = re.compile("|".join(f"(?:{p})" for p in GAPPED.strip("\n").split("\n")))
         self.single = {w for p in self.furniture if " " not in (w := p)}
 
-    def read(self, text: str, heading: str | None, own: set[str]) -> tuple[list[int], list[int], list[int], list[int]]:
+    def read(self, text: str, heading: str | None, own: set[str]) -> tuple[list[int], list[int], list[int], list[int], list[int]]:
         head = " ".join(_WORD.findall(unicodedata.normalize("NFC", heading.lower()))) if heading else ""
         frames, raws, flags, sizes = [], [], [], []
         for line in text.split("\n"):
@@ -165,7 +170,11 @@ class LineReader:
             raws.append(_hash(w) if words else 1)
             flags.append(flag)
             sizes.append(min(len(words), 1000))
-        return frames, raws, flags, sizes
+        lines = [i for i, f in enumerate(flags) if not f & BLANK]
+        after = [-1] * len(flags)  # the next line that isn't blank
+        for i, j in zip(lines, lines[1:], strict=False):
+            after[i] = j
+        return frames, raws, flags, sizes, after
 
 
 def _read_pages(common: set[str]):
@@ -176,21 +185,21 @@ def _read_pages(common: set[str]):
                 d = b.slice(lo, 2000).to_pydict()
                 rows = [reader.read(t, h, set(o or ())) for t, h, o in zip(d["t"], d["heading"], d["own"], strict=True)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(d["k"], pa.int64()), pa.array(d["host"], pa.int64()), *(pa.array([r[i] for r in rows], pa.list_(t)) for i, t in enumerate((pa.int64(), pa.int64(), pa.int32(), pa.int32())))],
-                    names=["k", "host", "frames", "raws", "flags", "sizes"],
+                    [*(pa.array(d[c], pa.int64()) for c in ("k", "doc", "host")), *(pa.array([r[i] for r in rows], pa.list_(t)) for i, t in enumerate((pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32())))],
+                    names=["k", "doc", "host", "frames", "raws", "flags", "sizes", "after"],
                 )
 
     return run
 
 
-def judge(frames: list[int], flags: list[int], sizes: list[int], repeated: set[int], constant: set[int] = frozenset()) -> list[int]:
+def judge(flags: list[int], sizes: list[int], repeated: set[int], constant: set[int] = frozenset()) -> list[int]:
     """The numbers of the furniture lines of one page.
 
-    ``repeated``: frames that are furniture wherever they stand; ``constant``:
+    ``repeated``: lines that are furniture as they are repeated; ``constant``:
     lines that many hosts repeat word for word, furniture only among furniture.
     """
-    n = len(frames)
-    bad = [bool(f & (KNOWN | MENU)) or (frames[i] in repeated and not f & BLANK) for i, f in enumerate(flags)]
+    n = len(flags)
+    bad = [bool(f & (KNOWN | MENU)) or (i in repeated and not f & BLANK) for i, f in enumerate(flags)]
     lines = [i for i, f in enumerate(flags) if not f & BLANK]
     # entries of a side list: title-like lines below its heading, up to the first sentence
     open_list = False
@@ -211,7 +220,7 @@ def judge(frames: list[int], flags: list[int], sizes: list[int], repeated: set[i
             near = [bad[lines[j]] and sizes[lines[j]] <= 4 for j in (at - 1, at + 1) if 0 <= j < len(lines)]
             if near and all(near):
                 bad[i] = True
-        elif not bad[i] and frames[i] in constant and not flags[i] & (SENTENCE | HEADING):
+        elif not bad[i] and i in constant and not flags[i] & (SENTENCE | HEADING):
             if all(bad[lines[j]] for j in (at - 1, at + 1) if 0 <= j < len(lines)) and len(lines) > 1:
                 bad[i] = True
     # a heading stands or falls with what it is above; only a story line behind it keeps it
@@ -228,19 +237,16 @@ def judge(frames: list[int], flags: list[int], sizes: list[int], repeated: set[i
     return [i for i in range(n) if bad[i] and not flags[i] & BLANK]
 
 
-def _judge_pages(repeated: np.ndarray, constants: np.ndarray):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, constant = set(repeated.tolist()), set(constants.tolist())
-        for b in batches:
-            d = b.to_pydict()
-            ks, nos = [], []
-            for k, fr, fl, sz in zip(d["k"], d["frames"], d["flags"], d["sizes"], strict=True):
-                for no in judge(fr, fl, sz, known, constant):
-                    ks.append(k)
-                    nos.append(no)
-            yield pa.RecordBatch.from_arrays([pa.array(ks, pa.int64()), pa.array(nos, pa.int32())], names=["k", "line_no"])
-
-    return run
+def _judge_pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        d = b.to_pydict()
+        ks, nos = [], []
+        for k, fl, sz, hits in zip(d["k"], d["flags"], d["sizes"], d["hits"], strict=True):
+            # a hit is 2 * line number, and 1 more for a constant line
+            for no in judge(fl, sz, {h >> 1 for h in hits or () if not h & 1}, {h >> 1 for h in hits or () if h & 1}):
+                ks.append(k)
+                nos.append(no)
+        yield pa.RecordBatch.from_arrays([pa.array(ks, pa.int64()), pa.array(nos, pa.int32())], names=["k", "line_no"])
 
 
 def common_words(pages: DataFrame, n_pages: int) -> set[str]:
@@ -265,6 +271,38 @@ def own_words(emails: DataFrame) -> DataFrame:
     return total.select("domain").join(per, "domain", "left").select("domain", F.array_union(of_domain, F.coalesce("names", F.array().cast("array<string>"))).alias("own"))
 
 
+def _host_hits(lines: DataFrame) -> DataFrame:
+    """k and hit of the lines that one host repeats in MIN_PAGES distinct mails or more, whatever the size of the corpus.
+
+    * lines of MIN_WORDS words, word for word;
+    * shorter lines with the line before or behind them, if most of their mails on the host have both: with the lines above, these two-line substrings cover what longer repeated substrings cover.
+    """
+    one = lines.where(F.col("size") >= MIN_WORDS).select("k", "doc", "line_no", F.xxhash64(F.lit(1), "host", "raw").alias("group"))
+    one = keep_groups(one, repeated_groups(one, MIN_PAGES)).select("k", "line_no")
+
+    short = F.when(F.col("size") <= F.col("next_size"), F.col("raw")).otherwise(F.col("next_raw"))
+    two = lines.where((F.col("after") >= 0) & (F.least("size", "next_size") > 0) & (F.least("size", "next_size") < MIN_WORDS) & (F.col("size") + F.col("next_size") >= MIN_WORDS))
+    two = two.select("k", "doc", F.array("line_no", "after").alias("nos"), F.xxhash64(F.lit(2), "host", "raw", "next_raw").alias("group"), F.xxhash64("host", short).alias("short"))
+    pairs = repeated_groups(two, MIN_PAGES).join(two.select("group", "short").distinct(), "group")
+    alone = lines.where((F.col("size") > 0) & (F.col("size") < MIN_WORDS)).select("doc", F.xxhash64("host", "raw").alias("short")).distinct().groupBy("short").agg(F.count(F.lit(1)).alias("n"))
+    pairs = pairs.join(alone, "short").where("2 * n_docs > n").select("group", "n_docs")
+    two = keep_groups(two.select("k", "nos", "group"), pairs).select("k", F.explode("nos").alias("line_no"))
+
+    return one.unionByName(two).select("k", (2 * F.col("line_no")).alias("hit"))
+
+
+def _frame_hits(lines: DataFrame, n_pages: int) -> DataFrame:
+    """k and hit of the lines whose frame stands on many hosts, on FRAME_SHARE of all pages."""
+    framed = lines.where((F.col("flag").bitwiseAND(SENTENCE) == 0) | (F.col("flag").bitwiseAND(MASKED) != 0)).select("k", "line_no", "host", "raw", "flag", F.col("frame").alias("group"))
+    # pre-aggregated: a frame that stands on a third of all pages is a few rows per task
+    fillings = framed.groupBy("group", "raw", "host", "k").agg(F.max(F.col("flag").bitwiseAND(MASKED)).alias("masked"))
+    by_host = fillings.groupBy("group", "raw", "host").agg(F.count(F.lit(1)).alias("n"), F.max("masked").alias("masked"))
+    stats = by_host.groupBy("group").agg(F.sum("n").alias("n"), F.count_distinct("raw").alias("fillings"), F.count_distinct("host").alias("hosts"), F.max("masked").alias("masked"))
+    varied = (F.col("masked") > 0) & (F.col("fillings") >= F.greatest(F.lit(MIN_HOSTS), VARIETY * F.col("hosts")))
+    kept = stats.where((F.col("n") >= max(MIN_PAGES, FRAME_SHARE * n_pages)) & (F.col("hosts") >= MIN_HOSTS)).select("group", F.when(varied, 0).otherwise(1).alias("n_docs"))
+    return keep_groups(framed.select("k", "line_no", "group"), kept).select("k", (2 * F.col("line_no") + F.col("n_docs")).alias("hit"))
+
+
 def furniture_lines(sections: DataFrame, emails: DataFrame, key: str = "id") -> DataFrame:
     """``key`` and line_no of every line that is not part of the story.
 
@@ -272,24 +310,18 @@ def furniture_lines(sections: DataFrame, emails: DataFrame, key: str = "id") ->
     """
     host = emails.groupBy(F.col("id").alias("email_id")).agg(F.min("sender").alias("sender")).select("email_id", sender_domain(F.col("sender")).alias("domain"))
     host = host.join(own_words(emails), "domain", "left").select("email_id", F.xxhash64("domain").alias("host"), "own")
-    pages = sections.select(F.col(key).cast("long").alias("k"), "email_id", "heading", F.col("text").cast("string").alias("t")).where("t is not null and t <> ''")
+    pages = sections.select(F.col(key).cast("long").alias("k"), "email_id", F.coalesce(F.col("email_id").cast("long"), -1 - F.col(key).cast("long")).alias("doc"), "heading", F.col("text").cast("string").alias("t")).where("t is not null and t <> ''")
     n_pages = pages.count()
     common = common_words(pages, n_pages)
-    placed = pages.join(host, "email_id", "left").select("k", F.coalesce("host", F.lit(0)).alias("host"), "own", "heading", "t")
-    read = placed.mapInArrow(_read_pages(common), "k long, host long, frames array<long>, raws array<long>, flags array<int>, sizes array<int>")
+    placed = pages.join(host, "email_id", "left").select("k", "doc", F.coalesce("host", F.lit(0)).alias("host"), "own", "heading", "t")
+    read = placed.mapInArrow(_read_pages(common), "k long, doc long, host long, frames array<long>, raws array<long>, flags array<int>, sizes array<int>, after array<int>")
     read = materialize(read, "lines")
 
-    lines = read.select("k", "host", F.explode(F.arrays_zip("frames", "raws", "flags")).alias("l")).select("k", "host", F.col("l.frames").alias("frame"), F.col("l.raws").alias("raw"), F.col("l.flags").alias("flag"))
-    lines = lines.where((F.col("flag").bitwiseAND(BLANK | SENTENCE) == 0) | (F.col("flag").bitwiseAND(MASKED) != 0))
-    # pre-aggregated: a frame that stands on a third of all pages is a few rows per task
-    least = max(MIN_PAGES, FRAME_SHARE * n_pages)
-    fillings = lines.groupBy("frame", "raw", "host").agg(F.count(F.lit(1)).alias("n"), F.max(F.col("flag").bitwiseAND(MASKED)).alias("masked"))
-    stats = fillings.groupBy("frame").agg(F.sum("n").alias("n"), F.count_distinct("raw").alias("fillings"), F.count_distinct("host").alias("hosts"), F.max("masked").alias("masked"))
-    varied = (F.col("masked") > 0) & (F.col("fillings") >= F.greatest(F.lit(MIN_HOSTS), VARIETY * F.col("hosts")))
-    kept = stats.where((F.col("n") >= least) & (F.col("hosts") >= MIN_HOSTS)).select("frame", varied.alias("varied"))
-    found = kept.limit(MAX_FRAMES + 1).collect()
-    if len(found) > MAX_FRAMES:
-        raise ValueError("more repeated frames than pages can hold: raise FRAME_SHARE")
-    frames, constants = (np.array([r["frame"] for r in found if r["varied"] == v], np.int64) for v in (True, False))
-    out = read.select("k", "frames", "flags", "sizes").mapInArrow(_judge_pages(frames, constants), "k long, line_no int")
+    at = F.posexplode(F.arrays_zip("frames", "raws", "flags", "sizes", "after")).alias("line_no", "l")
+    lines = read.select("k", "doc", "host", "raws", "sizes", at).where(F.col("l.flags").bitwiseAND(BLANK) == 0)
+    next_raw, next_size = (F.get(c, F.col("l.after")) for c in ("raws", "sizes"))
+    lines = lines.select("k", "doc", "host", "line_no", F.col("l.frames").alias("frame"), F.col("l.raws").alias("raw"), F.col("l.flags").alias("flag"), F.col("l.sizes").alias("size"), F.col("l.after").alias("after"), next_raw.alias("next_raw"), next_size.alias("next_size"))
+    hits = _host_hits(lines).unionByName(_frame_hits(lines, n_pages))
+    per_page = hits.groupBy("k").agg(F.collect_set("hit").alias("hits"))
+    out = read.select("k", "flags", "sizes").join(per_page, "k", "left").mapInArrow(_judge_pages, "k long, line_no int")
     return out.withColumnRenamed("k", key)

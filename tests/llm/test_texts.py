@@ -94,6 +94,19 @@ def test_page_furniture(spark):
     assert got == {i: {0, 1, 5, 6, 7, 8, 9} for i in range(len(NAMES))}
 
 
+def test_page_furniture_of_one_host(spark):
+    """What one host repeats is found by repetition alone, in small and large corpora, and by distinct mails."""
+    notice, short = "Every reader of ours gets a paper kite in spring.", "Paper kites"
+    own = lambda i: " ".join(random.Random(i).sample(COMMON, 12)) + "."
+    for others in (0, 400):
+        rows = [(i, i, None, f"{own(i)}\n{short}\n{notice}") for i in range(5)]
+        rows += [(10 + i, 10 + i, None, f"{own(10 + i)}\nA line that one mail has often." + "\nA line that one mail has often." * 5 * (i == 0)) for i in range(3)]
+        rows += [(100 + i, 100 + i, None, own(100 + i)) for i in range(others)]
+        em = spark.createDataFrame([(r[0], "a@kite.example" if r[0] < 5 else "b@other.example" if r[0] < 100 else f"c@h{r[0] % 40}.example") for r in rows], "id long, sender string")
+        df = spark.createDataFrame(rows, "id long, email_id long, heading string, text string")
+        assert sorted((r.id, r.line_no) for r in B.furniture_lines(df, em).collect()) == [(i, no) for i in range(5) for no in (1, 2)]
+
+
 def test_page_furniture_dirt(spark):
     rows = [(1, 1, None, None), (2, 1, None, ""), (3, None, "Menu", "Menu\nHome\nAbout"), (4, 9, "", "One story line that is told here and nowhere else."), (5, 1, None, "x " * 100_000), (6, 1, None, "\n\r\n \n"), (3, None, "Menu", "Menu\nHome\nAbout")]
     df = spark.createDataFrame(rows, "id long, email_id long, heading string, text string")
