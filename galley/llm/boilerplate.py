@@ -1,34 +1,44 @@
-"""Main body of pages: lines of page furniture are found and told from the story.
-
-The lines of a host's pages are compared for substrings that many distinct mails
-of that host share: lines of four words and more word for word, shorter lines
-together with a neighbour (two rounds of prefix doubling).  The threshold is a
-fixed number of the host's mails, so what a host's pages give does not depend on
-how many other pages there are.
-
-Furniture that many hosts word alike, each with its own names, is found by
-*frame* over all hosts: the words of a line with every run of uncommon words, and
-every word of the sender's own name, masked.  For each repeated frame three
-numbers decide:
-
-* how many distinct pages hold it, as a share of all pages;
-* on how many hosts it stands;
-* how many different fillings its masked places have: furniture is one frame
-  with ever new names, a copied story is one frame with the same names.
-
-What repeats without masked places (menu words, prompts) is told from copied
-story lines by a fixed list of the words of page furniture.  A last pass over
-each page keeps the unique runs and settles what stands between: list entries
-below a furniture heading, short lines inside a menu, headings above furniture.
+"""Main body of pages: what many pages repeat is furniture, the unique runs are the story.
+
+Every page is a stream of line tokens, and every line a stream of word tokens in
+which the uncommon words (names, as every copy of a piece of furniture has its
+own) and the words of the sender's own name are masked; masked lines are called
+*frames* below.  The streams of a host are searched for substrings that several
+distinct pages share, by suffix groups: round 0 of the doubling groups the
+suffixes that share one line token, round 1 those that share two, and a group is
+kept where it spans ``MIN_PAGES`` distinct mails of the host, whatever the size of
+the corpus.  Long substrings count, so of a host
+
+* lines of ``MIN_WORDS`` words and more that stand there word for word;
+* shorter ones together with the line before or behind them;
+* frames with ever new fillings.
+
+What hosts share (they use the same mail services and page builders) is found the
+same way over the streams of all hosts, on ``MIN_HOSTS`` hosts and ``MIN_PAGES``
+pages, again fixed numbers:
+
+* frames with ever new fillings; a copied story is one frame with the same names;
+* short lines (menu words, prompts, list heads); the same before a colon;
+* such a short line is the *head of a side list* if most of its copies stand
+  right above a title.
+
+A line that is the heading of its section is the story's until shown otherwise:
+it is left out of the counts, and groups that are headings at least as often as not
+are no furniture.  A last pass over each page removes what is covered, keeps the
+unique runs, and settles what stands between: entries below a list head, menus made
+of menu words and names, short lines inside a menu, headings above furniture.
+
+No list of words or phrases decides anything here.
 
 Bounds: the common words hold at least ``WORD_SHARE`` of all pages each, so there
 are at most (words of a page / WORD_SHARE) of them, whatever the number of pages;
-checked before they are sent to the workers.  Repeated lines are joined back by
-salted joins and never gathered.
+where there are more than ``MAX_WORDS`` only the most frequent are unmasked.
+Repeated groups are joined back by salted joins and never gathered.
 
 Defined results: lines are the parts between ``\\n``, counted from 0; blank
 lines are never furniture; null and empty texts give no row; sections without a
-sender form one host; equal rows give equal rows.
+sender form one host; sections without a mail are mails of their own; equal rows
+give equal rows.
 """
 
 from __future__ import annotations
@@ -37,72 +47,30 @@ import re
 import unicodedata
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from galley.llm.repeated_lines import _keep as keep_groups
-from galley.llm.repeated_lines import repeated_groups
+from galley.llm.repeated_lines import keep_groups, repeated_groups
 from galley.operators.timestamps import sender_domain
 from galley.session import materialize
 
-WORD_SHARE, FRAME_SHARE = 0.003, 0.0002
-#: Distinct mails or pages, and hosts, that a repeated line stands on; words of a line that one host repeats.
+WORD_SHARE = 0.003
+#: Distinct mails or pages, and hosts, that a repeated substring stands on; words from which a line alone is a long substring.
 MIN_PAGES, MIN_HOSTS, MIN_WORDS = 4, 4, 4
-#: Different fillings asked for, as a share of the hosts a frame stands on.
-VARIETY = 0.4
+#: Different fillings asked for, as a share of the hosts a frame stands on; copies of a list head that stand above a title.
+VARIETY, HEAD_SHARE = 0.4, 0.5
 MAX_WORDS = 200_000
 
-# Lines that are page furniture on any site, as their words in lower case.
-FURNITURE = """
-home; about; about us; contact; contact us; help; menu; account; my account; press; jobs; topics; search; podcast; podcasts; tags; archive; archives; login;
-log in; sign in; sign up; register; shop; store; events; print; print this; ok; sitemap; site map; imprint; accessibility; back to top; top; share; share this; share this story;
-accept; accept all; accept cookies; allow all; reject; reject all; got it; manage choices; manage preferences; cookie settings; cookie notice; cookies; cookie policy; your privacy; privacy; privacy policy;
-privacy settings; terms; terms of use; legal; legal notice; navigation; main menu; breadcrumbs; subscribe; unsubscribe; follow us; follow; newsletter; newsletters; faq; next; previous; read more; comments;
-leave a comment; tweet; email this; save; listen; close; skip; skip to content; skip to main content; advertisement; advert; sponsored; settings; feedback; careers; team; blog; view in browser;
-more; about this mail; about this email; related; related posts; popular; latest; most read; most popular; trending; trending now; you may like; you may also like; more like this; also today; more reading;
-recommended; recommended for you; read next; editors picks; from the archive; all rights reserved; notifications; download the app; get the app; alle zulassen; ablehnen; impressum; datenschutz; kontakt;
-startseite; aceptar; rechazar; accepter; refuser; tout accepter; tout refuser; mentions légales; aviso legal; consent; your choices; data settings; tag; categories; keywords; topics and tags; in this section; elsewhere; up next
-"""
-# Headings that open a side list; the entries below them are furniture too.
-LIST_HEADINGS = """
-related; related posts; popular; latest; most read; most popular; trending; trending now; you may like; you may also like; more like this; also today; more reading; recommended;
-recommended for you; read next; editors picks; from the archive; tags; topics; tag; keywords; menu; navigation; main menu; sitemap; elsewhere; up next; more; in this section
-"""
-# Phrases of notices, prompts and footers, as they stand among the words of a line.
-PHRASES = """
-all rights reserved; manage preferences; pause delivery; leave this list; you are getting this message because; you are receiving this; unsubscribe from; update your profile; view this email in your browser;
-view in browser; read on the web; sent through; sent with; sent by; powered by; need help with delivery; log in to; sign up for; join the talk; enter your email; no spam; skip to content;
-copy link to; share on; terms of use privacy; app for your phone; may contain partner links; nothing in this letter is; or investment advice; quoted prices were delayed; use cookies to; cookies to keep;
-accept all or; necessary only accept; asks for consent; storage terms of; can be changed at any time; stores small files on your device; try it today; forward this issue to; hit reply and tell; publishing box;
-issue no sent to readers; utilise des traceurs; verwenden cookies; usamos cookies; se envía cada semana; leiten sie diese ausgabe; tout accepter ou; alle zulassen oder; aceptar o configurar
-"""
-
-# Notices and prompts with places for names, as patterns over the words of a line.
-GAPPED = r"""
-^written by .* for the .* desk$
-^recorded at the .* studio and edited by
-^get the .* app (for|on)
-^read .* on the web( |$)
-^listen on .* join the
-^you can reach the .* hotline
-is published by .* nothing in this
-^skip to .* content$
-^enter your email
-^advert .* try it
-^your privacy on .* pick which
-^by going on you agree
-^up next in 
-media .* street all rights
-"""
-
-_SET = lambda text: {p.strip() for p in text.replace("\n", " ").split(";") if p.strip()}
 _WORD = re.compile(r"[^\W\d_]+")
 _BULLET = re.compile(r"^\s*(?:[-*•·–—»>]+|\(?\d{1,3}[.)])\s+")
 _SENTENCE_END = re.compile(r"[.!?…。！？]['\"”’)\]]*(?:\s*\[\d+\])?\s*$")
 _SEPARATOR = re.compile(r"\s*[·|/»›>•]\s*|\s{3,}")
 
-BLANK, KNOWN, LISTHEAD, BULLET, SENTENCE, MASKED, ONLY_NAME, HEADING, MENU = (1 << i for i in range(9))
+BLANK, PARTS, NEXT_TITLE, BULLET, SENTENCE, MASKED, NAMED_LABEL, HEADING = (1 << i for i in range(8))
+#: Classes of hits: repeated, repeated word for word by many hosts (furniture only among furniture), short line, list head, label, menu word.
+REPEATED, CONSTANT, SHORT, LIST_HEAD, LABEL, MENU_WORD = range(6)
 
 
 def frame_of(line_words: list[str], common: set[str], own: set[str]) -> str:
@@ -123,58 +91,67 @@ def _hash(text: str) -> int:
 
 
 class LineReader:
-    """Frames and flags of the lines of a text."""
+    """The tokens of a page: per line its words, its frame, its label (what stands before a colon), flags and sizes."""
 
     def __init__(self, common: set[str]):
         self.common = common
-        self.furniture, self.heads = _SET(FURNITURE), _SET(LIST_HEADINGS)
-        self.phrases = re.compile(r"(?:^| )(?:" + "|".join(sorted(map(re.escape, _SET(PHRASES)), key=len, reverse=True)) + r")(?: |$)")
-        self.gapped = re.compile("|".join(f"(?:{p})" for p in GAPPED.strip("\n").split("\n")))
-        self.single = {w for p in self.furniture if " " not in (w := p)}
 
-    def read(self, text: str, heading: str | None, own: set[str]) -> tuple[list[int], list[int], list[int], list[int], list[int]]:
+    def read(self, text: str, heading: str | None, own: set[str]) -> tuple[list[int], ...]:
+        """raws, frames, labels, flags, sizes, plain (unmasked words), after (next line that isn't blank), and the words that may be menu words with their lines."""
         head = " ".join(_WORD.findall(unicodedata.normalize("NFC", heading.lower()))) if heading else ""
-        frames, raws, flags, sizes = [], [], [], []
-        for line in text.split("\n"):
-            words = _WORD.findall(line.lower())
-            if not line.strip():
-                frames.append(0), raws.append(0), flags.append(BLANK), sizes.append(0)
-                continue
-            w = " ".join(words)
-            frame = frame_of(words, self.common, own)
-            flag = 0
+        raws, frames, labels, flags, sizes, plain, menu_line, menu_word = [], [], [], [], [], [], [], []
+        for no, line in enumerate(text.split("\n")):
             bare = line.strip()
-            label = " ".join(_WORD.findall(bare.partition(":")[0].lower())) if ":" in bare else ""
-            if w in self.furniture or label in self.heads or self.phrases.search(w) or self.gapped.search(w):
-                flag |= KNOWN
-            if w in self.heads:
-                flag |= LISTHEAD
+            if not bare:
+                for x, v in zip((raws, frames, labels, flags, sizes, plain), (0, 0, 0, BLANK, 0, 0), strict=True):
+                    x.append(v)
+                continue
+            words = _WORD.findall(bare.lower())
+            w, frame = " ".join(words), frame_of(words, self.common, own)
+            shown = [x for x in frame.split() if x != "~"]
+            flag = MASKED if "~" in frame else 0
+            label = 0
+            before, colon, behind = bare.partition(":")
+            if colon and behind.strip() and not behind.startswith("//"):
+                name = frame_of(_WORD.findall(before.lower()), self.common, own)
+                if name and name != "~":
+                    label = _hash(name)
+                    flag |= NAMED_LABEL if "~" in name and len(name.split()) > 2 else 0
             if _BULLET.match(line):
                 flag |= BULLET
             told = bare.split(" | ")[0]  # an entry with columns behind it is read by its first one
-            if _SENTENCE_END.search(told) and len(words) >= 4:
+            if len(words) >= 4 and _SENTENCE_END.search(told):
                 flag |= SENTENCE
-            if "~" in frame:
-                flag |= MASKED
-            if frame == "~" and len(words) <= 3:
-                flag |= ONLY_NAME
             if head and w == head:
                 flag |= HEADING
-            if not flag & (SENTENCE | KNOWN) and len(words) >= 3:
+            if len(words) >= 3 and shown and not flag & SENTENCE:
                 parts = [p for p in _SEPARATOR.split(bare) if p.strip()]
-                n = sum(x in self.single for x in words)
-                names = n >= 1 and len(words) >= 4 and all(x in self.single or x not in self.common for x in words)
-                if names or (len(parts) >= 3 and all(len(p.split()) <= 3 for p in parts) and n >= 1) or (n >= 2 and 2 * n >= len(words)):
-                    flag |= MENU
-            frames.append(_hash(frame) if words else 1)
+                if len(parts) >= 3 and all(len(p.split()) <= 3 for p in parts):
+                    flag |= PARTS
+                for x in dict.fromkeys(shown):
+                    menu_line.append(no), menu_word.append(_hash(x))
             raws.append(_hash(w) if words else 1)
+            frames.append(_hash(frame) if words else 1)
+            labels.append(label)
             flags.append(flag)
             sizes.append(min(len(words), 1000))
+            plain.append(min(len(set(shown)), 1000))
         lines = [i for i, f in enumerate(flags) if not f & BLANK]
-        after = [-1] * len(flags)  # the next line that isn't blank
+        after = [-1] * len(flags)
         for i, j in zip(lines, lines[1:], strict=False):
             after[i] = j
-        return frames, raws, flags, sizes, after
+            if sizes[j] >= MIN_WORDS and not flags[j] & (SENTENCE | HEADING):
+                flags[i] |= NEXT_TITLE
+        return raws, frames, labels, flags, sizes, plain, after, menu_line, menu_word
+
+
+_READ = "k long, doc long, host long, raws array<long>, frames array<long>, labels array<long>, flags array<int>, sizes array<int>, plain array<int>, after array<int>, menu_line array<int>, menu_word array<long>"
+_TYPES = (np.int64, np.int64, np.int64, np.int32, np.int32, np.int32, np.int32, np.int32, np.int64)
+
+
+def _lists(rows: list[list[int]], dtype) -> pa.ListArray:
+    flat = np.fromiter((v for r in rows for v in r), dtype)
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, rows)]), pa.int32()), pa.array(flat))
 
 
 def _read_pages(common: set[str]):
@@ -182,30 +159,30 @@ def _read_pages(common: set[str]):
         reader = LineReader(common)
         for b in batches:
             for lo in range(0, b.num_rows, 2000):
-                d = b.slice(lo, 2000).to_pydict()
+                part = b.slice(lo, 2000)
+                d = part.to_pydict()
                 rows = [reader.read(t, h, set(o or ())) for t, h, o in zip(d["t"], d["heading"], d["own"], strict=True)]
-                yield pa.RecordBatch.from_arrays(
-                    [*(pa.array(d[c], pa.int64()) for c in ("k", "doc", "host")), *(pa.array([r[i] for r in rows], pa.list_(t)) for i, t in enumerate((pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32())))],
-                    names=["k", "doc", "host", "frames", "raws", "flags", "sizes", "after"],
-                )
+                yield pa.RecordBatch.from_arrays([*(pa.array(d[c], pa.int64()) for c in ("k", "doc", "host")), *(_lists([r[i] for r in rows], t) for i, t in enumerate(_TYPES))], names=re.findall(r"(\w+) (?:long|array)", _READ))
 
     return run
 
 
-def judge(flags: list[int], sizes: list[int], repeated: set[int], constant: set[int] = frozenset()) -> list[int]:
-    """The numbers of the furniture lines of one page.
-
-    ``repeated``: lines that are furniture as they are repeated; ``constant``:
-    lines that many hosts repeat word for word, furniture only among furniture.
-    """
+def judge(flags: list[int], sizes: list[int], plain: list[int], hits: set[tuple[int, int]], menu: dict[int, int]) -> list[int]:
+    """The numbers of the furniture lines of one page; ``hits``: (line, class), ``menu``: how many words of a line are menu words."""
     n = len(flags)
-    bad = [bool(f & (KNOWN | MENU)) or (i in repeated and not f & BLANK) for i, f in enumerate(flags)]
+    known = [bool({(i, SHORT), (i, LIST_HEAD), (i, LABEL)} & hits) for i in range(n)]
+
+    def is_menu(i: int) -> bool:
+        m = menu.get(i, 0)
+        return m > 0 and ((m == plain[i] and sizes[i] > MIN_WORDS - 1 and bool(flags[i] & MASKED)) or bool(flags[i] & PARTS) or (m > 1 and 2 * m >= sizes[i]))
+
+    bad = [not flags[i] & BLANK and (known[i] or (i, REPEATED) in hits or is_menu(i)) for i in range(n)]
     lines = [i for i, f in enumerate(flags) if not f & BLANK]
-    # entries of a side list: title-like lines below its heading, up to the first sentence
+    # entries of a side list: title-like lines below its head, up to the first sentence
     open_list = False
     for i in lines:
         f = flags[i]
-        if f & LISTHEAD:
+        if (i, LIST_HEAD) in hits:
             open_list = True
         elif open_list:
             if f & SENTENCE and sizes[i] > 4 and not bad[i]:
@@ -214,15 +191,24 @@ def judge(flags: list[int], sizes: list[int], repeated: set[int], constant: set[
                 open_list = False
             else:
                 bad[i] = True
-    # short lines inside a run of menu entries
+    # runs of names and short furniture are menus: one known entry, or two names on their own, make one
+    run: list[int] = []
+    for i in [*lines, -1]:
+        name = i >= 0 and plain[i] == 0 and 1 <= sizes[i] <= 3 and not flags[i] & (SENTENCE | HEADING)
+        if name or (i >= 0 and bad[i] and sizes[i] <= MIN_WORDS):
+            run.append(i)
+            continue
+        if len(run) > 1:
+            for j in run:
+                bad[j] = True
+        run = []
+    # short lines inside a menu, and what all hosts word alike inside furniture
     for at, i in enumerate(lines):
-        if not bad[i] and sizes[i] <= 3 and not flags[i] & (SENTENCE | HEADING):
-            near = [bad[lines[j]] and sizes[lines[j]] <= 4 for j in (at - 1, at + 1) if 0 <= j < len(lines)]
-            if near and all(near):
-                bad[i] = True
-        elif not bad[i] and i in constant and not flags[i] & (SENTENCE | HEADING):
-            if all(bad[lines[j]] for j in (at - 1, at + 1) if 0 <= j < len(lines)) and len(lines) > 1:
-                bad[i] = True
+        if bad[i] or flags[i] & (SENTENCE | HEADING):
+            continue
+        near = [lines[j] for j in (at - 1, at + 1) if 0 <= j < len(lines)]
+        if near and all(bad[j] for j in near) and ((i, CONSTANT) in hits or (sizes[i] <= 3 and all(sizes[j] <= MIN_WORDS for j in near))):
+            bad[i] = True
     # a heading stands or falls with what it is above; only a story line behind it keeps it
     story = [i for i in lines if not bad[i]]
     for at, i in enumerate(lines):
@@ -230,7 +216,7 @@ def judge(flags: list[int], sizes: list[int], repeated: set[int], constant: set[
         is_head = sizes[i] <= 12 and not f & (SENTENCE | BULLET)
         if is_head and (f & HEADING or at == 0):
             after = lines[at + 1 : at + 2]
-            if bad[i] and f & HEADING and not f & KNOWN and after and not bad[after[0]]:
+            if bad[i] and f & HEADING and not known[i] and after and not bad[after[0]]:
                 bad[i] = False
             elif not bad[i] and after and not any(j > i for j in story):
                 bad[i] = True
@@ -241,22 +227,25 @@ def _judge_pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         d = b.to_pydict()
         ks, nos = [], []
-        for k, fl, sz, hits in zip(d["k"], d["flags"], d["sizes"], d["hits"], strict=True):
-            # a hit is 2 * line number, and 1 more for a constant line
-            for no in judge(fl, sz, {h >> 1 for h in hits or () if not h & 1}, {h >> 1 for h in hits or () if h & 1}):
+        for k, fl, sz, pl, coded in zip(d["k"], d["flags"], d["sizes"], d["plain"], d["hits"], strict=True):
+            hits, menu = set(), {}
+            for h in coded or ():
+                i, c = divmod(h, 8)
+                if c == MENU_WORD:
+                    menu[i] = menu.get(i, 0) + 1
+                else:
+                    hits.add((i, c))
+            for no in judge(fl, sz, pl, hits, menu):
                 ks.append(k)
                 nos.append(no)
         yield pa.RecordBatch.from_arrays([pa.array(ks, pa.int64()), pa.array(nos, pa.int32())], names=["k", "line_no"])
 
 
 def common_words(pages: DataFrame, n_pages: int) -> set[str]:
-    """The words that stand on at least ``WORD_SHARE`` of all pages."""
+    """The words that stand on at least ``WORD_SHARE`` of all pages, the ``MAX_WORDS`` most frequent at most."""
     words = pages.select(F.explode(F.array_distinct(F.split(F.lower("t"), r"[^\p{L}]+"))).alias("w"))
     kept = words.groupBy("w").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= max(3, WORD_SHARE * n_pages))
-    found = [r["w"] for r in kept.limit(MAX_WORDS + 1).collect()]
-    if len(found) > MAX_WORDS:
-        raise ValueError("more common words than a page can hold: raise WORD_SHARE")
-    return set(found)
+    return {r["w"] for r in kept.orderBy(F.col("n").desc(), "w").limit(MAX_WORDS).collect()}
 
 
 def own_words(emails: DataFrame) -> DataFrame:
@@ -271,15 +260,29 @@ def own_words(emails: DataFrame) -> DataFrame:
     return total.select("domain").join(per, "domain", "left").select("domain", F.array_union(of_domain, F.coalesce("names", F.array().cast("array<string>"))).alias("own"))
 
 
+def _flag(bit: int):
+    return F.col("flag").bitwiseAND(bit) != 0
+
+
+def _coded(line, kind: int):
+    return (8 * line.cast("long") + kind).alias("hit")
+
+
 def _host_hits(lines: DataFrame) -> DataFrame:
-    """k and hit of the lines that one host repeats in MIN_PAGES distinct mails or more, whatever the size of the corpus.
+    """k and hit of the lines that substrings repeated in MIN_PAGES distinct mails of one host cover.
 
-    * lines of MIN_WORDS words, word for word;
-    * shorter lines with the line before or behind them, if most of their mails on the host have both: with the lines above, these two-line substrings cover what longer repeated substrings cover.
+    * round 0: lines of MIN_WORDS words word for word, and frames with as many different fillings;
+    * round 1: shorter lines with the line before or behind them, if most of their mails on the host have both.
     """
-    one = lines.where(F.col("size") >= MIN_WORDS).select("k", "doc", "line_no", F.xxhash64(F.lit(1), "host", "raw").alias("group"))
+    body = ~_flag(HEADING)
+    one = lines.where((F.col("size") >= MIN_WORDS) & body).select("k", "doc", "line_no", F.xxhash64(F.lit(1), "host", "raw").alias("group"))
     one = keep_groups(one, repeated_groups(one, MIN_PAGES)).select("k", "line_no")
 
+    framed = lines.where(_flag(MASKED) & body & (F.col("plain") > 1)).select("k", "doc", "line_no", "raw", F.xxhash64(F.lit(3), "host", "frame").alias("group"))
+    often = repeated_groups(framed, MIN_PAGES)
+    filled = keep_groups(framed, often).select("group", "raw", "n_docs").distinct().groupBy("group").agg(F.count(F.lit(1)).alias("fillings"), F.max("n_docs").alias("n_docs"))
+    framed = keep_groups(framed.select("k", "line_no", "group"), filled.where((F.col("fillings") >= MIN_PAGES) & (F.col("fillings") >= VARIETY * F.col("n_docs"))).select("group", "n_docs")).select("k", "line_no")
+
     short = F.when(F.col("size") <= F.col("next_size"), F.col("raw")).otherwise(F.col("next_raw"))
     two = lines.where((F.col("after") >= 0) & (F.least("size", "next_size") > 0) & (F.least("size", "next_size") < MIN_WORDS) & (F.col("size") + F.col("next_size") >= MIN_WORDS))
     two = two.select("k", "doc", F.array("line_no", "after").alias("nos"), F.xxhash64(F.lit(2), "host", "raw", "next_raw").alias("group"), F.xxhash64("host", short).alias("short"))
@@ -288,19 +291,47 @@ def _host_hits(lines: DataFrame) -> DataFrame:
     pairs = pairs.join(alone, "short").where("2 * n_docs > n").select("group", "n_docs")
     two = keep_groups(two.select("k", "nos", "group"), pairs).select("k", F.explode("nos").alias("line_no"))
 
-    return one.unionByName(two).select("k", (2 * F.col("line_no")).alias("hit"))
+    return one.unionByName(framed).unionByName(two).select("k", _coded(F.col("line_no"), REPEATED))
+
 
+def _shared_groups(lines: DataFrame) -> DataFrame:
+    """group, sort, varied and head of what MIN_HOSTS hosts share on MIN_PAGES pages: frames, short lines, labels with a masked place.
 
-def _frame_hits(lines: DataFrame, n_pages: int) -> DataFrame:
-    """k and hit of the lines whose frame stands on many hosts, on FRAME_SHARE of all pages."""
-    framed = lines.where((F.col("flag").bitwiseAND(SENTENCE) == 0) | (F.col("flag").bitwiseAND(MASKED) != 0)).select("k", "line_no", "host", "raw", "flag", F.col("frame").alias("group"))
-    # pre-aggregated: a frame that stands on a third of all pages is a few rows per task
-    fillings = framed.groupBy("group", "raw", "host", "k").agg(F.max(F.col("flag").bitwiseAND(MASKED)).alias("masked"))
-    by_host = fillings.groupBy("group", "raw", "host").agg(F.count(F.lit(1)).alias("n"), F.max("masked").alias("masked"))
-    stats = by_host.groupBy("group").agg(F.sum("n").alias("n"), F.count_distinct("raw").alias("fillings"), F.count_distinct("host").alias("hosts"), F.max("masked").alias("masked"))
-    varied = (F.col("masked") > 0) & (F.col("fillings") >= F.greatest(F.lit(MIN_HOSTS), VARIETY * F.col("hosts")))
-    kept = stats.where((F.col("n") >= max(MIN_PAGES, FRAME_SHARE * n_pages)) & (F.col("hosts") >= MIN_HOSTS)).select("group", F.when(varied, 0).otherwise(1).alias("n_docs"))
-    return keep_groups(framed.select("k", "line_no", "group"), kept).select("k", (2 * F.col("line_no") + F.col("n_docs")).alias("hit"))
+    Two steps, both pre-aggregated: rows per group first, as nearly all groups
+    stand once; distinct pages, hosts and fillings of the few that are left.
+    """
+    is_short = ~_flag(MASKED) & F.col("size").between(1, MIN_WORDS - 1)
+    is_frame = (_flag(MASKED) & (F.col("plain") > 0)) | (~_flag(MASKED) & ~_flag(SENTENCE) & (F.col("size") >= MIN_WORDS))
+    entry = lambda sort, group: F.struct(F.lit(sort).alias("sort"), group.alias("group"))
+    entries = F.array_compact(F.array(F.when(is_frame, entry("frame", F.col("frame"))), F.when(is_short, entry("short", F.col("raw"))), F.when(_flag(NAMED_LABEL) & ~_flag(SENTENCE), entry("label", F.col("label")))))
+    x = lines.select("k", "host", "raw", _flag(HEADING).alias("head"), _flag(MASKED).alias("masked"), _flag(NEXT_TITLE).alias("titled"), F.explode(entries).alias("e")).select("*", "e.sort", "e.group").drop("e")
+    body = ~F.col("head")
+    counted = x.groupBy("sort", "group").agg(F.sum(body.cast("int")).alias("n"), F.sum(F.col("head").cast("int")).alias("n_head"), F.sum((body & F.col("titled")).cast("int")).alias("n_titled"), F.max("masked").alias("masked"))
+    counted = counted.where((F.col("n") >= MIN_PAGES) & (F.col("n") > F.col("n_head")))
+    rest = keep_groups(x.where(body).select("k", "host", "raw", "sort", "group"), counted.select("group", F.col("n").alias("n_docs"))).drop("n_docs").distinct()
+    per_host = rest.groupBy("sort", "group", "host", "raw").agg(F.count(F.lit(1)).alias("n"))
+    hosts = per_host.select("sort", "group", "host").distinct().groupBy("sort", "group").agg(F.count(F.lit(1)).alias("hosts"))
+    fillings = per_host.select("sort", "group", "raw").distinct().groupBy("sort", "group").agg(F.count(F.lit(1)).alias("fillings"))
+    pages = rest.select("sort", "group", "k").distinct().groupBy("sort", "group").agg(F.count(F.lit(1)).alias("pages"))
+    y = counted.join(hosts, ["sort", "group"]).join(fillings, ["sort", "group"]).join(pages, ["sort", "group"]).where((F.col("hosts") >= MIN_HOSTS) & (F.col("pages") >= MIN_PAGES))
+    varied = F.col("masked") & (F.col("fillings") >= F.greatest(F.lit(MIN_HOSTS), VARIETY * F.col("hosts")))
+    return y.select("sort", "group", varied.alias("varied"), (F.col("n_titled") >= HEAD_SHARE * F.col("n")).alias("head"))
+
+
+def _shared_hits(read: DataFrame, lines: DataFrame) -> DataFrame:
+    """k and hit of the lines, labels and words that many hosts share."""
+    groups = materialize(_shared_groups(lines), "shared")
+    of = lambda sort: groups.where(F.col("sort") == sort).select("group", F.struct("varied", "head").alias("n_docs"))
+    frames = keep_groups(lines.where(~_flag(HEADING)).select("k", "line_no", F.col("frame").alias("group")), of("frame"))
+    frames = frames.select("k", _coded(F.col("line_no"), 0) + F.when(F.col("n_docs.varied"), REPEATED).otherwise(CONSTANT))
+    short = keep_groups(lines.where(F.col("size").between(1, MIN_WORDS - 1)).select("k", "line_no", F.col("raw").alias("group")), of("short"))
+    short = short.select("k", _coded(F.col("line_no"), 0) + F.when(F.col("n_docs.head"), LIST_HEAD).otherwise(SHORT))
+    labels = lines.where("label <> 0").select("k", "line_no", F.col("label").alias("group"))
+    named = keep_groups(labels, of("label").where("n_docs.varied")).unionByName(keep_groups(labels, of("short"))).select("k", _coded(F.col("line_no"), LABEL))
+    words = read.select("k", F.explode(F.arrays_zip("menu_line", "menu_word")).alias("m")).select("k", F.col("m.menu_line").alias("line_no"), F.col("m.menu_word").alias("group"))
+    menu = keep_groups(words, of("short")).select("k", _coded(F.col("line_no"), MENU_WORD))
+    parts = [d.toDF("k", "hit") for d in (frames, short, named, menu)]
+    return parts[0].union(parts[1]).union(parts[2]).union(parts[3])
 
 
 def furniture_lines(sections: DataFrame, emails: DataFrame, key: str = "id") -> DataFrame:
@@ -311,17 +342,16 @@ def furniture_lines(sections: DataFrame, emails: DataFrame, key: str = "id") ->
     host = emails.groupBy(F.col("id").alias("email_id")).agg(F.min("sender").alias("sender")).select("email_id", sender_domain(F.col("sender")).alias("domain"))
     host = host.join(own_words(emails), "domain", "left").select("email_id", F.xxhash64("domain").alias("host"), "own")
     pages = sections.select(F.col(key).cast("long").alias("k"), "email_id", F.coalesce(F.col("email_id").cast("long"), -1 - F.col(key).cast("long")).alias("doc"), "heading", F.col("text").cast("string").alias("t")).where("t is not null and t <> ''")
-    n_pages = pages.count()
-    common = common_words(pages, n_pages)
+    common = common_words(pages, pages.count())
     placed = pages.join(host, "email_id", "left").select("k", "doc", F.coalesce("host", F.lit(0)).alias("host"), "own", "heading", "t")
-    read = placed.mapInArrow(_read_pages(common), "k long, doc long, host long, frames array<long>, raws array<long>, flags array<int>, sizes array<int>, after array<int>")
-    read = materialize(read, "lines")
+    read = materialize(placed.mapInArrow(_read_pages(common), _READ), "lines")
 
-    at = F.posexplode(F.arrays_zip("frames", "raws", "flags", "sizes", "after")).alias("line_no", "l")
+    at = F.posexplode(F.arrays_zip("raws", "frames", "labels", "flags", "sizes", "plain", "after")).alias("line_no", "l")
     lines = read.select("k", "doc", "host", "raws", "sizes", at).where(F.col("l.flags").bitwiseAND(BLANK) == 0)
     next_raw, next_size = (F.get(c, F.col("l.after")) for c in ("raws", "sizes"))
-    lines = lines.select("k", "doc", "host", "line_no", F.col("l.frames").alias("frame"), F.col("l.raws").alias("raw"), F.col("l.flags").alias("flag"), F.col("l.sizes").alias("size"), F.col("l.after").alias("after"), next_raw.alias("next_raw"), next_size.alias("next_size"))
-    hits = _host_hits(lines).unionByName(_frame_hits(lines, n_pages))
-    per_page = hits.groupBy("k").agg(F.collect_set("hit").alias("hits"))
-    out = read.select("k", "flags", "sizes").join(per_page, "k", "left").mapInArrow(_judge_pages, "k long, line_no int")
+    fields = [F.col(f"l.{a}").alias(b) for a, b in (("raws", "raw"), ("frames", "frame"), ("labels", "label"), ("flags", "flag"), ("sizes", "size"), ("plain", "plain"), ("after", "after"))]
+    lines = lines.select("k", "doc", "host", "line_no", *fields, next_raw.alias("next_raw"), next_size.alias("next_size"))
+    hits = _host_hits(lines).union(_shared_hits(read, lines))
+    per_page = hits.groupBy("k").agg(F.collect_list("hit").alias("hits"))
+    out = read.select("k", "flags", "sizes", "plain").join(per_page, "k", "left").mapInArrow(_judge_pages, "k long, line_no int")
     return out.withColumnRenamed("k", key)

@@ -57,7 +57,7 @@ def repeated_groups(positions: DataFrame, min_documents: int) -> DataFrame:
     return pairs.groupBy("group").agg(F.count(F.lit(1)).alias("n_docs")).where(F.col("n_docs") >= min_documents)
 
 
-def _keep(positions: DataFrame, groups: DataFrame, salts: int = SALTS) -> DataFrame:
+def keep_groups(positions: DataFrame, groups: DataFrame, salts: int = SALTS) -> DataFrame:
     """Positions whose group is kept; a group's positions are spread over ``salts`` tasks."""
     salted = positions.withColumn("salt", F.pmod(F.col("k"), F.lit(salts)).cast("int"))
     spread = groups.select("group", "n_docs", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
@@ -67,7 +67,7 @@ def _keep(positions: DataFrame, groups: DataFrame, salts: int = SALTS) -> DataFr
 def repeated_lines(df: DataFrame, key: str, document: str, text: str, sources: DataFrame, min_words: int = MIN_WORDS, min_documents: int = MIN_DOCUMENTS) -> DataFrame:
     """``key``, line_no and n_docs of each line of ``min_words`` or more that its source repeats: the first round."""
     positions = line_positions(df, key, document, text, sources, min_words)
-    kept = _keep(positions, repeated_groups(positions, min_documents))
+    kept = keep_groups(positions, repeated_groups(positions, min_documents))
     return kept.select(F.col("k").alias(key), "line_no", F.col("n_docs").alias("n_documents"))
 
 
@@ -81,13 +81,13 @@ def repeated_blocks(df: DataFrame, key: str, document: str, text: str, sources:
 
     positions = line_positions(df, key, document, text, sources)
     positions = positions.withColumn("pos", F.row_number().over(Window.partitionBy("k").orderBy("line_no")))
-    current = materialize(_keep(positions, repeated_groups(positions, min_documents)).select("k", "doc", "line_no", "pos", "group", "n_docs"), "round0")
+    current = materialize(keep_groups(positions, repeated_groups(positions, min_documents)).select("k", "doc", "line_no", "pos", "group", "n_docs"), "round0")
     found = current.select("k", "line_no", "n_docs", F.lit(1).alias("n_lines"))
     step = 1
     for _ in range(max_rounds):
         after = current.select("k", (F.col("pos") - step).alias("pos"), F.col("group").alias("next_group"))
         joined = current.drop("n_docs").join(after, ["k", "pos"]).withColumn("group", F.xxhash64("group", "next_group", F.lit(step))).drop("next_group")
-        longer = materialize(_keep(joined, repeated_groups(joined, min_documents)).select("k", "doc", "line_no", "pos", "group", "n_docs"), "round")
+        longer = materialize(keep_groups(joined, repeated_groups(joined, min_documents)).select("k", "doc", "line_no", "pos", "group", "n_docs"), "round")
         if longer.isEmpty():
             break
         step *= 2
