@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from galley.llm.boilerplate import furniture_lines
 from galley.llm.near_duplicates import near_duplicates
 from galley.llm.packing import pack
-from galley.llm.repeated_lines import repeated_blocks, repeated_lines, without_lines
+from galley.llm.repeated_lines import repeated_blocks, repeated_lines, standing_lines, without_lines
 from galley.llm.residue import residue
 from galley.llm.splitting import split_oversized
 from galley.llm.tokens import encode, token_counts
@@ -74,9 +74,9 @@ def p6_blocks(spark: SparkSession, root: str) -> DataFrame:
 
 
 def p6_texts(spark: SparkSession, root: str) -> DataFrame:
-    """The sections without the lines their sender repeats: section_id, n_chars_before, n_chars_after, text."""
+    """The sections without the blocks their sender repeats: section_id, n_chars_before, n_chars_after, text."""
     sections = table(spark, root, "email_sections").select("id", "email_id", "text")
-    found = repeated_lines(sections, "id", "email_id", "text", _senders(spark, root))
+    found = standing_lines(sections, "id", "email_id", "text", _senders(spark, root))
     kept = without_lines(sections.withColumn("before", F.length("text")), "id", "text", found)
     return kept.select(F.col("id").alias("section_id"), F.col("before").alias("n_chars_before"), F.length("text").alias("n_chars_after"), "text")
 

@@ -7,7 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from galley.llm import boilerplate as B
-from galley.llm.repeated_lines import repeated_blocks, repeated_lines, without_lines
+from galley.llm.repeated_lines import repeated_blocks, repeated_lines, standing_lines, without_lines
 from galley.llm.residue import ResidueIndex, residue
 from galley.llm.splitting import cut_place, split_oversized, split_text
 
@@ -65,7 +65,45 @@ def test_repeated_blocks(spark):
     rows = [(i, i, f"own line {'abcdefgh'[i]}\nfirst of block\nsecond of block\nthird of it\nfourth of it") for i in range(6)]
     src = spark.createDataFrame([(i, "a@x") for i in range(6)], "doc long, src string")
     got = {(r.id, r.line_no): (r.n_lines, r.n_documents) for r in repeated_blocks(spark.createDataFrame(rows, LINES), "id", "email_id", "text", src).collect()}
-    assert got[0, 1] == (4, 6) and got[0, 2] == (2, 6) and got[0, 4] == (1, 6) and (0, 0) not in got
+    assert got[0, 1] == (4, 6) and got[0, 2] == (3, 6) and got[0, 4] == (1, 6) and (0, 0) not in got
+
+
+def test_blocks_against_brute_force(spark):
+    """The exact length of the longest repeated block of every line, over texts of few different lines."""
+    rng = random.Random(3)
+    words = ["alpha", "beta gamma", "delta epsilon zeta", "eta theta iota kappa", "lambda"]
+    texts = [[rng.choice(words[: 2 + i % 4]) for _ in range(rng.randint(1, 14))] for i in range(60)]
+    texts += [[words[i % 5] for i in range(11)]] * 3 + [[words[i % 5] for i in range(13)]] * 2
+    rows = [(i, i // 2, "\n".join(t)) for i, t in enumerate(texts)]
+    src = [(i // 2, "ab"[i // 2 % 2]) for i in range(len(texts))]
+    docs: dict = {}
+    for i, t in enumerate(texts):
+        for a in range(len(t)):
+            for b in range(a + 1, len(t) + 1):
+                docs.setdefault((i // 2 % 2, *t[a:b]), set()).add(i // 2)
+    want = {}
+    for i, t in enumerate(texts):
+        for a in range(len(t)):
+            n = max((b - a for b in range(a + 1, len(t) + 1) if len(docs[i // 2 % 2, *t[a:b]]) >= 4), default=0)
+            if n:
+                want[i, a] = (n, len(docs[i // 2 % 2, *t[a : a + n]]))
+    df = spark.createDataFrame(rows, LINES)
+    sources = spark.createDataFrame(src, "doc long, src string")
+    got = {(r.id, r.line_no): (r.n_lines, r.n_documents) for r in repeated_blocks(df, "id", "email_id", "text", sources).collect()}
+    assert got == want and max(n for n, _ in want.values()) > 4
+    gone = set()
+    for (i, a), (n, _) in want.items():
+        if sum(len(x.split()) for x in texts[i][a : a + n]) >= 4:
+            gone |= {(i, x) for x in range(a, a + n)}
+    assert {(r.id, r.line_no) for r in standing_lines(df, "id", "email_id", "text", sources).collect()} == gone
+
+
+def test_long_block_has_its_exact_length(spark):
+    block = [f"line {chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)} of it" for i in range(5000)]
+    rows = [(i, i, "\n".join([f"own {'abcd'[i]}", *block, f"end {'abcd'[i]}"])) for i in range(4)] * 2
+    src = spark.createDataFrame([(i, "a@x") for i in range(4)], "doc long, src string")
+    got = {(r.id, r.line_no): r.n_lines for r in repeated_blocks(spark.createDataFrame(rows, LINES), "id", "email_id", "text", src).collect()}
+    assert got[0, 1] == 5000 and got[3, 4999] == 2 and got[2, 1234] == 5001 - 1234 and (0, 0) not in got
 
 
 def test_hot_line_of_one_sender(spark):
@@ -107,6 +145,19 @@ def test_page_furniture_of_one_host(spark):
         assert sorted((r.id, r.line_no) for r in B.furniture_lines(df, em).collect()) == [(i, no) for i in range(5) for no in (1, 2)]
 
 
+@pytest.mark.parametrize("n_hosts", [1, 3, 6])
+def test_page_furniture_with_ever_new_names(spark, n_hosts):
+    """A notice that every page holds with another name is found, on one host as on many, beside many other pages."""
+    syllables = ["ba", "do", "ku", "mi", "ra", "so", "ze", "fu"]
+    name = lambda i: "".join(syllables[i // 8**j % 8] for j in range(5))
+    own = lambda i: " ".join(random.Random(i).sample(COMMON, 12)) + "."
+    rows = [(i, i, None, f"{own(i)}\nWritten by {name(i)} for the paper house\n{own(9000 + i)}") for i in range(60)]
+    rows += [(1000 + i, 1000 + i, None, f"{own(1000 + i)}\nThe {own(5000 + i)} was written for and by all") for i in range(300)]
+    em = spark.createDataFrame([(r[0], f"a@h{r[0] % n_hosts}.example" if r[0] < 1000 else f"c@o{r[0] % 40}.example") for r in rows], "id long, sender string")
+    df = spark.createDataFrame(rows, "id long, email_id long, heading string, text string")
+    assert sorted((r.id, r.line_no) for r in B.furniture_lines(df, em).collect()) == [(i, 1) for i in range(60)]
+
+
 def test_page_furniture_dirt(spark):
     rows = [(1, 1, None, None), (2, 1, None, ""), (3, None, "Menu", "Menu\nHome\nAbout"), (4, 9, "", "One story line that is told here and nowhere else."), (5, 1, None, "x " * 100_000), (6, 1, None, "\n\r\n \n"), (3, None, "Menu", "Menu\nHome\nAbout")]
     df = spark.createDataFrame(rows, "id long, email_id long, heading string, text string")
