@@ -187,6 +187,13 @@ CASES = [
     ("error", "Menu Login\nIt looks like JS is switched off. The Post can't load without it."),
     ("error", "HTTP Error 502. The server could not finish the request. Reference 2ebd403a."),
     ("error", "VEUILLEZ ACTIVER LES SCRIPTS POUR AFFICHER THE POST."),
+    ("error", "page not found " * 170),
+    ("error", "Gateway timed out\nThe upstream server gave no response."),
+    ("error", "This document has been withdrawn and can no longer be displayed here."),
+    (None, "The editors said that this document of the archive was withdrawn by its author in spring."),
+    ("filler", "Our team met in the house on Monday and lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod tempor incididunt before the road was shut for the day again."),
+    ("marker", "Hi {{#user.first_name}}, hello"),
+    (None, "The sets {a} and {b} meet in {{ }} and the price is ${}."),
     (None, '"Page not found" is the message the old policy showed; today it reads "Why it moved".'),
     (None, "Access denied\nThe real story is long and goes on about the case of the day for a while."),
     (None, "Please enable the weekly camera before you test the maintenance cache, says the team."),
@@ -200,4 +207,13 @@ def test_residue(spark):
     got = {r.doc_id: r.kind for r in residue(df).collect()}
     assert {i: got.get(i) for i in range(len(CASES))} == {i: k for i, (k, _) in enumerate(CASES)}
     assert residue(df.limit(0)).count() == 0
-    assert ResidueIndex({}, 0).classify("Loading…") == "error"
+    assert ResidueIndex({}, 0).classify("Loading…")[0] == "error"
+
+
+def test_notice_among_furniture(spark):
+    """The lines around a notice are furniture where other documents repeat them, and the page's own otherwise."""
+    menu = "Home\nKites\nBoats\nSails\n"
+    rows = [(i, menu + f"A real text about {w} stands below the menu, with words enough to be one.") for i, w in enumerate(["rain", "wind", "sand", "salt"])]
+    rows += [(10, menu + "Page not found"), (11, "Home\nRoses\nTulips\nLilies\nPage not found"), (12, "Page not found\nKites Boats Sails Home\nOne title\nTwo titles")]
+    got = {r.doc_id: r.kind for r in residue(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {10: "error", 12: "error"}
