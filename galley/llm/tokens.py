@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from galley.session import materialize
+
 #: Where the vocabularies lie; a parameter of every function here.
 TOKENIZERS = os.environ.get("GALLEY_TOKENIZERS", "/opt/tokenizers")
 DEFAULT = "byte_bpe_50k"
@@ -158,7 +160,7 @@ def _stitch_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for lo in range(b.num_rows):
             ids = stitch(b.column(2)[lo].as_py())
-            yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, 1), b.column(1).slice(lo, 1), _lists([ids or []]), pa.array([ids is not None])], names=["k", "row", "ids", "agreed"])
+            yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, 1), b.column(1).slice(lo, 1), b.column(3).slice(lo, 1), _lists([ids or []]), pa.array([ids is not None])], names=["k", "row", "times", "ids", "agreed"])
 
 
 def encode(df: DataFrame, key: str = "doc_id", text: str | Column = "text", name: str = DEFAULT, folder: str = TOKENIZERS, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
@@ -169,21 +171,20 @@ def encode(df: DataFrame, key: str = "doc_id", text: str | Column = "text", name
     slim = df.select(F.col(key).cast("long").alias("k"), text.cast("string").alias("t"))
     is_long = F.coalesce(F.length("t") > chunk + overlap, F.lit(False))
     short = slim.where(~is_long).mapInArrow(_encode_whole(name, folder), "k long, ids array<int>")
-    spark = df.sparkSession
-    # rows of one key with different texts stay apart by the text's own hash
+    # rows of one key with different texts stay apart by the text's own hash; equal rows are chunks of one text, counted
     big = slim.where(is_long).select("k", "t", F.concat_ws("-", F.xxhash64("t"), F.length("t")).alias("row"))
-    same = big.groupBy("k", "row").agg(F.count(F.lit(1)).alias("times"))
-    once = big.dropDuplicates(["k", "row"])
-    chunks = once.mapInArrow(_cut(chunk, overlap), "k long, row string, chunk_no int, start long, n_chunks int, piece string")
-    chunks = chunks.repartition(_spread(spark), "k", "row", "chunk_no")
+    chunks = big.mapInArrow(_cut(chunk, overlap), "k long, row string, chunk_no int, start long, n_chunks int, piece string")
+    chunks = chunks.repartition(_spread(df.sparkSession), "k", "row", "chunk_no")
     coded = chunks.mapInArrow(_encode_chunks(name, folder, overlap), "k long, row string, chunk_no int, ids array<int>, head_pos array<long>, head_at array<int>, tail_pos array<long>, tail_at array<int>")
-    whole = coded.groupBy("k", "row").agg(F.array_sort(F.collect_list(F.struct("chunk_no", "ids", "head_pos", "head_at", "tail_pos", "tail_at"))).alias("chunks"))
-    joined = whole.mapInArrow(_stitch_rows, "k long, row string, ids array<int>, agreed boolean")
-    joined = joined.join(same, ["k", "row"])
-    rest = once.join(joined.where(~F.col("agreed")).select("k", "row", "times"), ["k", "row"])
-    rest = rest.select("k", "t", F.explode(F.sequence(F.lit(1), F.col("times"))).alias("i")).select("k", "t").mapInArrow(_encode_whole(name, folder), "k long, ids array<int>")
-    agreed = joined.where("agreed").select("k", "ids", F.explode(F.sequence(F.lit(1), F.col("times"))).alias("i")).select("k", "ids")
-    return short.unionByName(agreed).unionByName(rest).withColumnRenamed("k", key)
+    whole = coded.groupBy("k", "row").agg(F.array_sort(F.collect_set(F.struct("chunk_no", "ids", "head_pos", "head_at", "tail_pos", "tail_at"))).alias("chunks"), F.sum(F.when(F.col("chunk_no") == 0, 1).otherwise(0)).cast("int").alias("times"))
+    # read twice below: stitched once, kept in the shared scratch folder
+    joined = materialize(whole.mapInArrow(_stitch_rows, "k long, row string, times int, ids array<int>, agreed boolean"), "stitched")
+    repeated = F.explode(F.array_repeat(F.lit(0), F.col("times"))).alias("i")
+    out = short.unionByName(joined.where("agreed").select("k", "ids", repeated).select("k", "ids"))
+    failed = joined.where("not agreed").select("k", "row")
+    if not failed.isEmpty():
+        out = out.unionByName(big.join(failed, ["k", "row"], "left_semi").select("k", "t").mapInArrow(_encode_whole(name, folder), "k long, ids array<int>"))
+    return out.withColumnRenamed("k", key)
 
 
 def _spread(spark) -> int:
