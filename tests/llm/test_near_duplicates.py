@@ -4,6 +4,7 @@ import random
 import re
 
 import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from galley.llm import near_duplicates as nd
@@ -114,7 +115,7 @@ def test_merge_stream_across_batches():
     for cut in range(1, 7):
         key, ids = np.array([5, 5, 5, 5, 8, 8, 9], np.uint64), np.arange(7)
         parts = [nd._rows(key[a:b], ids[a:b], np.zeros(b - a), sketch[a:b], nd._POST) for a, b in ((0, cut), (cut, 7))]
-        out = pa.Table.from_batches(list(nd._merge(iter(parts)))).to_pydict()
+        out = pa.Table.from_batches(list(nd._merge(38)(iter(parts)))).to_pydict()
         members = sorted(a for a, k in zip(out["a"], out["kind"], strict=True) if k == nd._MEMBER)
         links = {(a, b) for a, b, k in zip(out["a"], out["b"], out["kind"], strict=True) if k == nd._LINK}
         assert members == [0, 1, 2, 3] and (4, 5) in links and {(0, 1), (1, 2), (2, 3)} <= links and not any(6 in x for x in links)
@@ -143,6 +144,34 @@ def test_pairs_that_meet_in_long_lists_only(spark):
     assert sorted(map(tuple, got.collect())) == want
 
 
+    # the same where lists above 20 members are cut, and where cuts leave them long
+    for long in (20, 3):
+        got = nd.near_duplicates(spark.createDataFrame(rows, "id long, text string"), "id", "text", 3, 0.5, long)
+        assert sorted(map(tuple, got.collect())) == want
+
+
+@pytest.mark.parametrize("threshold", [0.3, 0.7])
+def test_other_thresholds(spark, threshold):
+    """Isolated pairs right above the threshold: at least nine of ten are found, nothing is added."""
+    rng = random.Random(8)
+    rows = []
+    for _ in range(120):
+        own = lambda k: [f"w{rng.randrange(10**9)}" for _ in range(k)]
+        shared = own(40 + round(60 * threshold))
+        other = round((len(shared) - 2) * (1 / (threshold + 0.04) - 1) / 2)
+        rows += [" ".join(shared + own(other)) for _ in range(2)]
+    rows = list(enumerate(rows))
+    want = set(brute(rows, 3, threshold))
+    got = set(map(tuple, nd.near_duplicates(spark.createDataFrame(rows, "id long, text string"), "id", "text", 3, threshold).collect()))
+    assert len(want) > 100 and got <= want and len(got) >= 0.9 * len(want)
+
+
+def test_thresholds_out_of_range(spark):
+    for bad in (0, 0.05, 1.1):
+        with pytest.raises(ValueError):
+            nd.near_duplicates(spark.createDataFrame([], "id long, text string"), "id", "text", 3, bad)
+
+
 def test_blocks_of_a_list():
     """Every pair of two components comes out once per list, whatever the blocks and the batches are."""
     import numpy as np
@@ -152,8 +181,9 @@ def test_blocks_of_a_list():
     comp = np.arange(9) // 2
     for blocks in (1, 3):
         own = np.arange(9) % blocks
-        rows = sorted((key, min(o, x), max(o, x), int(o), k, int(comp[k]), sig[k].tobytes()) for key in (4, 5) for k, o in enumerate(own) for x in range(blocks))
-        whole = pa.Table.from_pylist([dict(zip(("key", "i", "j", "own", "k", "c", "sig"), r, strict=True)) for r in rows])
+        small = sig.astype(np.uint8)
+        rows = sorted((key, min(o, x), max(o, x), int(o), k, int(comp[k]), 0, small[k].tobytes()) for key in (4, 5) for k, o in enumerate(own) for x in range(blocks))
+        whole = pa.Table.from_pylist([dict(zip(("key", "i", "j", "own", "k", "c", "sketch", "rows"), r, strict=True)) for r in rows])
         for size in (1, 2, 5, 100):
-            out = [p for b in nd._cross(1)(iter(whole.to_batches(max_chunksize=size))) for p in zip(*b.to_pydict().values(), strict=True)]
+            out = [p for b in nd._cross(1, 1)(iter(whole.to_batches(max_chunksize=size))) for p in zip(*b.to_pydict().values(), strict=True)]
             assert sorted(out) == sorted((a, b) for a in range(9) for b in range(a + 1, 9) if comp[a] != comp[b] for _ in (4, 5))
