@@ -30,11 +30,13 @@ import math
 import re
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from galley.functions.predicates import bound
 from galley.session import materialize
 
 CONTAINMENT = 0.8
@@ -426,12 +428,14 @@ def residue(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     found = slim.select(F.explode(F.array_intersect(_words("t"), F.array(*map(F.lit, vocabulary())))).alias("w"))
     frequency = {r["w"]: r["n"] for r in found.groupBy("w").agg(F.count(F.lit(1)).alias("n")).collect()}
     n_documents = slim.count()
-    keys = sorted(ResidueIndex(frequency, n_documents).index)
-    low = F.lower("t")
-    signs = F.lit(False)
-    for x in [*openers(), "[object object]"]:
-        signs = signs | F.contains(low, F.lit(x))
-    may = slim.where(F.arrays_overlap(_words("t"), F.array(*map(F.lit, keys))) | signs | F.col("t").rlike(_EMPTY.pattern))
+    # an empty value is a word too
+    keys = sorted({*ResidueIndex(frequency, n_documents).index, "none", "nan", "undefined", "null"})
+
+    def looked_up(low):
+        signs = reduce(lambda x, y: x | y, [F.contains(low, F.lit(x)) for x in [*openers(), "[object object]"]])
+        return signs | F.arrays_overlap(F.split(low, r"[^\p{L}]+"), F.array(*map(F.lit, keys)))
+
+    may = slim.where(bound(F.lower("t"), looked_up))
     got = materialize(may.mapInArrow(_classify(frequency, n_documents), "k long, kind string, titles array<array<string>>"), "residue")
     sure = got.where(F.size("titles") == 0).select("k", "kind")
     # error pages among many lines: the lines have to be furniture, or made of its words
