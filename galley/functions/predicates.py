@@ -249,3 +249,20 @@ def without_fence(c: Column) -> Column:
     s = strip(c)
     inner = F.regexp_extract(s, r"(?s)^```[A-Za-z0-9]*\s*(.*?)\s*```$", 1)
     return F.when(s.rlike(r"(?s)^```[A-Za-z0-9]*\s*.*?\s*```$"), inner).otherwise(s)
+
+
+#: Wrappings that are taken off a payload.
+LEVELS = 8
+
+
+def unwrapped(payload: Column, levels: int = LEVELS) -> Column:
+    """The JSON text of a payload without what is wrapped around it."""
+    blank = BLANK + "﻿​"
+
+    def peel(c: Column, _: Column) -> Column:
+        s = F.btrim(c, F.lit(blank))
+        fence = F.btrim(F.regexp_extract(s, r"(?s)^```+[ \t]*[A-Za-z0-9_+.-]*(.*?)```+$", 1), F.lit(blank))
+        text = F.get_json_object(F.concat(F.lit('{"v":'), s, F.lit("}")), "$.v")
+        return F.when(s.startswith("```"), fence).when(s.startswith('"'), F.coalesce(text, s)).otherwise(s)
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(levels)), payload.cast("string"), peel)

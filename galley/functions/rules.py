@@ -40,7 +40,7 @@ HEADING_CLASSES = ("md-heading", "markdown-heading", "markdown-h1", "markdown-h2
 PROMO_KEYWORDS = (
     "register", "enroll", "cohort", "webinar", "workshop", "masterclass", "bootcamp", "rsvp", "limited seats", "apply now", "tickets", "early bird", "join us", "sign up", "sponsor",
 )
-PROMO_KEYWORDS_SHORT = PROMO_KEYWORDS[:-1]
+PROMO_KEYWORDS_SHORT = tuple(k for k in PROMO_KEYWORDS if k != "sponsor")
 PROMO_HEADINGS = ("(sponsored)", "sponsor:", "paid partnership", "advertisement", "promoted by")
 PROMO_BODIES = ("(sponsored)", "paid partnership", "promoted by")
 TEASER_PHRASES = (
@@ -60,4 +60,4 @@ CHUNK_CHARS, CHUNKS_PER_EMAIL = 14000, 6
 LINE_CHARS, MIN_IMAGE_EDGE, MAX_PIXEL_EDGE, DEFAULT_IMAGE_AREA = 140, 8, 3, 10_000
 LONG_FORM_CHARS, GRAY_ZONE, SPLIT_URLS, SUBSTANTIVE_CHARS, ARTICLE_CHARS = 1800, (3, 8), 3, 400, 200
 CONFIDENCE_MIN, CONFIDENCE_PROCESS = 0.55, 0.75
-MAX_FACTS, FALLBACK_FACTS, MAX_CARDS, MAX_RECAP_CARDS = 80, 10, 3, 2
+MAX_FACTS, FALLBACK_FACTS, MAX_CARDS, MAX_RECAP_CARDS, SHOWN_KEY_POINTS = 80, 10, 3, 2, 5

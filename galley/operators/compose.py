@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from galley.functions import rules
-from galley.functions.predicates import escaped, strip
+from galley.functions.predicates import strip, unwrapped
 
 LAST = 2147483647
 DIGEST = "ainews_radar_digest"
@@ -54,7 +54,7 @@ def shown_rows(outputs: DataFrame) -> DataFrame:
     digest = outputs.where((F.col("kind") == DIGEST) & F.col("email_section_id").isNull()).select("email_id").distinct()
     classified = outputs.where((F.col("kind") == "classifier") & F.col("content_unit_key").isNotNull())
     keys = classified.select("email_id", "content_unit_key").distinct()
-    profile = classified.where(F.try_parse_json("payload").isNotNull() & (F.get_json_object("payload", "$.routing_source") == "sender_profile"))
+    profile = classified.where(F.get_json_object(unwrapped(F.col("payload")), "$.routing_source") == "sender_profile")
     profile = profile.groupBy("email_id").agg(F.max_by("content_unit_key", "id").alias("profile_unit"))
     rows = outputs.where(F.col("kind").isin(*KINDS) & (F.col("email_section_id").isNotNull() | F.col("content_unit_key").isNotNull()))
     rows = rows.join(digest, "email_id", "left_anti").join(profile, "email_id", "left")
@@ -90,7 +90,7 @@ def labels(emails: DataFrame) -> DataFrame:
 def cards(outputs: DataFrame) -> DataFrame:
     """id, email_id, card_no, role, title, key_points of the digest outputs; roles split top story from recap."""
     schema = "struct<cards:array<struct<role:string,title:string,tldr:string,key_points:array<string>>>>"
-    x = outputs.where(F.col("kind") == DIGEST).select("id", "email_id", F.from_json("payload", schema).alias("p"))
+    x = outputs.where(F.col("kind") == DIGEST).select("id", "email_id", F.from_json(unwrapped(F.col("payload")), schema).alias("p"))
     y = x.select("id", "email_id", F.posexplode("p.cards").alias("card_no", "c"))
     return y.select("id", "email_id", "card_no", "c.role", "c.title", "c.tldr", F.coalesce("c.key_points", F.array().cast("array<string>")).alias("key_points"))
 
@@ -120,10 +120,3 @@ def fallback_facts(facts: DataFrame, key: str, kept: DataFrame, most: int = rule
 
     w = Window.partitionBy(key).orderBy(F.col("importance").desc(), "place")
     return facts.join(kept.select(key).distinct(), key, "left_anti").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most)
-
-
-def page(rows: DataFrame, by: str, title: Column) -> DataFrame:
-    """``by`` and ``html``: a page per group with its rows (subject, heading, body, place) in order, every value escaped."""
-    entry = F.concat(F.lit("<li><b>"), escaped(F.col("heading")), F.lit("</b> "), escaped(F.col("body")), F.lit(" <i>"), escaped(F.col("subject")), F.lit("</i></li>"))
-    per = rows.groupBy(by).agg(F.array_sort(F.collect_list(F.struct("place", entry.alias("e")))).alias("s"), F.first(title).alias("title"))
-    return per.select(by, F.concat(F.lit("<html><body><h1>"), escaped(F.col("title")), F.lit("</h1><ul>"), F.array_join(F.transform("s", lambda x: x["e"]), ""), F.lit("</ul></body></html>")).alias("html"))

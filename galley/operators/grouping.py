@@ -216,3 +216,74 @@ def story_units(sections: DataFrame, keywords=rules.PROMO_KEYWORDS, teasers=rule
     body = sections.where(~is_promo(keywords) & ~is_teaser(teasers, keywords))
     placed = body.join(dominant_paths(body, **paths).select("id", "path"), "id")
     return units(placed, "path")
+
+
+def excluded_keys(sections: DataFrame, keywords=rules.PROMO_KEYWORDS, teasers=rules.TEASER_PHRASES) -> DataFrame:
+    """email_id and section_keys, in order, of the sections that are no article body: teasers and promotional ones."""
+    x = sections.where(is_promo(keywords) | is_teaser(teasers, keywords)).select("email_id", F.struct("order_index", "id", strip(F.col("section_key")).alias("key")).alias("s"))
+    return x.groupBy("email_id").agg(F.transform(F.array_sort(F.collect_list("s")), lambda i: i["key"]).alias("section_keys"))
+
+
+def article_units(sections: DataFrame, keywords=rules.PROMO_KEYWORDS, teasers=rules.TEASER_PHRASES) -> DataFrame:
+    """One unit per email of all its body sections; an email without any has none."""
+    return units(sections.where(~is_promo(keywords) & ~is_teaser(teasers, keywords)).withColumn("group_no", F.lit(0)))
+
+
+def grouped_units(sections: DataFrame, profiles: DataFrame, keywords=rules.PROMO_KEYWORDS, teasers=rules.TEASER_PHRASES, **paths) -> DataFrame:
+    """The units of every email, with ``way``: by runs and links, or by the shape of the emails in ``profiles`` (email_id).
+
+    An email with a profile has one unit if it is a single article, one per
+    story if it is several, none if it is a teaser.
+    """
+    listed = profiles.select("email_id").distinct()
+    plain = sections.join(listed, "email_id", "left_anti").select(sections.columns)
+    known = sections.join(listed, "email_id", "left_semi").select(sections.columns)
+    # an email of promotional sections only has no units
+    some = plain.where(~is_promo(keywords)).select("email_id").distinct()
+    generic = units(final_groups(plain.join(some, "email_id", "left_semi").select(sections.columns), keywords)).withColumn("way", F.lit("generic"))
+    shape = shapes(known, keywords=keywords, teasers=teasers, **paths).select("email_id", "shape")
+    of = lambda name: known.join(shape.where(F.col("shape") == name), "email_id", "left_semi").select(sections.columns)
+    single = article_units(of("single_article"), keywords, teasers).withColumn("way", F.lit("single_article"))
+    multi = story_units(of("multi_story"), keywords, teasers, **paths).withColumn("way", F.lit("multi_story"))
+    return generic.unionByName(single).unionByName(multi)
+
+
+def profile_plans(sections: DataFrame, profiles: DataFrame, **how) -> DataFrame:
+    """email_id, kind, section_keys and merged_hash of the emails with a profile (email_id, kind) whose sections say nothing against the merge.
+
+    ``how``: the phrases of the interrupt rules.
+    """
+    known = sections.join(profiles.select("email_id").distinct(), "email_id", "left_semi").select(sections.columns)
+    plan = profile_merge(known, **how).where("counter_evidence is null").select("email_id", "section_keys")
+    return plan.join(profiles.select("email_id", "kind"), "email_id").join(merged_hash(known, **how), "email_id").select("email_id", "kind", "section_keys", "merged_hash")
+
+
+def proposal_errors(proposed: DataFrame, sections: DataFrame, wanted: DataFrame, keywords=rules.PROMO_KEYWORDS) -> DataFrame:
+    """All that is wrong with proposed groups (email_id, group_no, section_key; a null key is an empty group): email_id, group_no, section_key, error.
+
+    ``wanted``: the keys (email_id, section_key) of the run.  Keys that are in
+    the email but not in the run are told from invented ones.
+    """
+    none = F.lit(None)
+    keyed = proposed.where("section_key is not null")
+    empty = proposed.groupBy("email_id", "group_no").agg(F.count("section_key").alias("n")).where("n = 0").select("email_id", "group_no", none.cast("string").alias("section_key"), F.lit("empty_unit").alias("error"))
+    known = sections.select("email_id", strip(F.col("section_key")).alias("section_key")).distinct().withColumn("_known", F.lit(True))
+    coverage = coverage_errors(keyed, wanted).join(known, ["email_id", "section_key"], "left")
+    outside = F.when((F.col("error") == "invented_section_key") & F.col("_known"), "section_outside_run").otherwise(F.col("error"))
+    coverage = coverage.select("email_id", none.cast("int").alias("group_no"), "section_key", outside.alias("error"))
+    overlap = overlap_errors(keyed, sections).select("email_id", "group_no", none.cast("string").alias("section_key"), "error")
+    return empty.unionByName(coverage).unionByName(boundary_errors(keyed, sections, keywords)).unionByName(overlap)
+
+
+def accepted_groups(sections: DataFrame, proposed: DataFrame, errors: DataFrame) -> DataFrame:
+    """``sections`` with ``group_no``: the proposed groups with the promotional sections between them, in reading order.
+
+    A proposal with an error is refused for its email: there every section stands alone.
+    """
+    placed = positioned(sections).withColumn("_k", strip(F.col("section_key")))
+    bad = errors.select("email_id").distinct().withColumn("_bad", F.lit(True))
+    x = placed.join(proposed.select("email_id", F.col("group_no").alias("_g"), F.col("section_key").alias("_k")), ["email_id", "_k"], "left").join(bad, "email_id", "left")
+    first = F.min("position").over(Window.partitionBy("email_id", "_g"))
+    start = F.when(F.col("_g").isNull() | F.coalesce("_bad", F.lit(False)), F.col("position")).otherwise(first)
+    x = x.withColumn("_s", start).withColumn("group_no", F.dense_rank().over(Window.partitionBy("email_id").orderBy("_s")) - 1)
+    return x.select(*sections.columns, "group_no")

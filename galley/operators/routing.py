@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from galley.functions import rules
-from galley.functions.predicates import hits
+from galley.functions.predicates import hits, unwrapped
 from galley.operators.scorer import Check, Scorer, scored
 from galley.operators.state import latest
 from galley.operators.timestamps import sender_address
@@ -126,6 +126,6 @@ def map_phase(chunks: DataFrame, scorer: Scorer, check: Check) -> DataFrame:
 def unit_hash_cache(units: DataFrame, log: DataFrame, kind: str) -> DataFrame:
     """Units whose latest output of a kind is of the same text: email_id, content_unit_key, cached."""
     top = latest(log.where(F.col("kind") == kind).where("content_unit_key is not null"), ["email_id", "content_unit_key"])
-    top = top.select("email_id", "content_unit_key", F.get_json_object("payload", "$.content_hash").alias("_h"))
+    top = top.select("email_id", "content_unit_key", F.get_json_object(unwrapped(F.col("payload")), "$.content_hash").alias("_h"))
     x = units.join(top, ["email_id", "content_unit_key"], "left")
     return x.select("email_id", "content_unit_key", F.coalesce(F.col("_h") == F.sha2("unit_text", 256), F.lit(False)).alias("cached"))

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from galley.plans import general_queries, html_queries, routing_queries, section_queries, state_queries
+from galley.plans import general_queries, html_queries, output_queries, routing_queries, section_queries, state_queries, unit_queries
 
-_MODULES = (general_queries, section_queries, html_queries, state_queries, routing_queries)
+_MODULES = (general_queries, section_queries, html_queries, state_queries, routing_queries, output_queries, unit_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

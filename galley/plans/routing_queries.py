@@ -10,6 +10,7 @@ from galley.operators import grouping as G
 from galley.operators import routing as T
 from galley.operators import sections as N
 from galley.operators import state as R
+from galley.plans import sql as SQL
 from galley.plans.section_queries import _DOM, _PROMO, _ROLES, _STRIPPABLE, NAVIGATION, PROMO, STORY
 from galley.plans.section_queries import ORACLE as SECTION_ORACLE
 from galley.session import table
@@ -102,8 +103,13 @@ def c12_map_phase(spark, root):
 
 
 def o10_composed(spark, root):
-    x = D.composed(table(spark, root, "digests").select(F.col("id").alias("digest_id"), F.col("body_html").alias("html")), "digest_id")
-    return x.select("digest_id", F.size("problems").cast("long").alias("n_problems"), (F.length("html") >= 120).alias("long_enough"))
+    """Every digest's page with faults put in, gated and repaired: what was wrong before, and the page after."""
+    html = F.coalesce("body_html", F.lit(""))
+    faulty = F.when(F.col("id") % 3 == 0, F.concat(html, F.lit("<script>x</script>{{ a }}"))).when(F.col("id") % 3 == 1, F.replace(html, F.lit("</html>"), F.lit(""))).otherwise(html)
+    pages = table(spark, root, "digests").select(F.col("id").alias("digest_id"), faulty.alias("html"))
+    before = pages.select("digest_id", F.array_join(P.html_problems(F.col("html")), ",").alias("problems_before"))
+    x = D.composed(pages, "digest_id").join(before, "digest_id")
+    return x.select("digest_id", "problems_before", F.array_join("problems", ",").alias("problems_after"), F.length("html").cast("long").alias("n_chars"), F.contains("html", F.lit("<script")).alias("has_script"))
 
 
 def k07_reports(spark, root):
@@ -118,6 +124,8 @@ _UNITS = SECTION_ORACLE["q_g05_units"].rpartition("SELECT email_id, 'u'")[0]
 _ADDR = r"coalesce(nullif(regexp_extract(lower(sender), '<\s*([^<>\s]+@[^<>\s]+)\s*>', 1), ''), nullif(regexp_extract(lower(sender), '([^\s<>\"''(),;:]+@[^\s<>\"''(),;:]+)', 1), ''))"
 _ENTRY = f"""ent AS (SELECT a.email_id, CASE WHEN r.category = 'RADAR' AND a.addr = 'editor@' || lower(r.domain) THEN 'EDITOR' ELSE r.category END AS entry
     FROM (SELECT id AS email_id, {_ADDR} AS addr FROM emails) a JOIN sender_registry r ON lower(r.domain) = split_part(a.addr, '@', -1))"""
+# What a page is filled up with, by length only.
+_FILLER = "<p>" + "This page was filled up to its least length. " * 8 + "</p>"
 ORACLE = {
     "q_d16_registry": f"WITH {_ENTRY} SELECT email_id, entry FROM ent",
     "q_d14_stories": f"""WITH {_DOM}, s AS (SELECT email_id, path FROM story WHERE path IS NOT NULL), c AS (SELECT email_id, min(path) AS canon FROM s GROUP BY 1)
@@ -130,7 +138,11 @@ ORACLE = {
     "q_r05_listing": "SELECT email_id, id AS section_id, section_key, (row_number() OVER (PARTITION BY email_id ORDER BY order_index, id) - 1)::INT AS position FROM email_sections",
     "q_r15_reuse": """WITH o AS (SELECT email_section_id, bool_or(kind = 'router') AS a FROM agent_outputs WHERE email_section_id IS NOT NULL GROUP BY 1), c AS (SELECT s.email_id, bool_and(coalesce(a, false)) AS complete FROM email_sections s LEFT JOIN o ON o.email_section_id = s.id GROUP BY 1)
         SELECT email_id, CASE WHEN email_id IN (SELECT email_id FROM agent_outputs WHERE kind = 'ainews_radar_digest' AND email_section_id IS NULL) THEN 'digest' WHEN complete THEN 'sections' ELSE 'nothing' END AS reuse FROM c""",
-    "q_o10_composed": "SELECT id AS digest_id, 0::BIGINT AS n_problems, true AS long_enough FROM digests",
+    "q_o10_composed": rf"""WITH d AS (SELECT id, CASE id % 3 WHEN 0 THEN coalesce(body_html, '') || '<script>x</script>{{{{ a }}}}' WHEN 1 THEN replace(coalesce(body_html, ''), '</html>', '') ELSE coalesce(body_html, '') END AS h FROM digests),
+        c AS (SELECT *, contains(lower(h), '<script') AS s, NOT contains(lower(h), '<html') AS r, NOT contains(lower(h), '</html>') AS e, length({SQL.strip('h')}) < 120 AS b, contains(h, '{{{{') OR contains(h, '{{%') AS m FROM d),
+        f AS (SELECT *, CASE WHEN s THEN regexp_replace(h, '(?is)<script\b.*?(?:</script\s*>|$)', '', 'g') ELSE h END AS h1 FROM c), g AS (SELECT *, CASE WHEN r THEN '<html><body>' ELSE '' END || h1 || CASE WHEN e THEN '</body></html>' ELSE '' END AS h2 FROM f)
+        SELECT id AS digest_id, concat_ws(',', CASE WHEN s THEN 'forbidden_script_tag' END, CASE WHEN r THEN 'missing_html_root' END, CASE WHEN e THEN 'missing_html_close' END, CASE WHEN b THEN 'body_too_short' END, CASE WHEN m THEN 'unrendered_template_markup' END) AS problems_before, '' AS problems_after,
+            length(CASE WHEN m THEN replace(replace(replace(replace(h2, '{{{{', '('), '}}}}', ')'), '{{%', '(%'), '%}}', '%)') ELSE h2 END) + CASE WHEN b THEN {len(_FILLER)} ELSE 0 END AS n_chars, false AS has_script FROM g""",
     "q_k07_reports": rf"""{_ROLES} SELECT email_id, md5(string_agg(concat_ws(' | ', section_key, CASE WHEN {_STRIPPABLE} THEN 'hidden' ELSE 'article' END, rule, n::VARCHAR, regexp_replace(left(coalesce(text, ''), 60), '[ \t\n\x0b\f\r]+', ' ', 'g')), chr(10) ORDER BY position)) AS report_md5 FROM roles GROUP BY 1""",
     "q_g22_resolved": f"""WITH x AS (SELECT id, email_id, section_key, order_index, {_PROMO} AS p, row_number() OVER (PARTITION BY email_id ORDER BY order_index, id) - 1 AS position FROM email_sections),
         y AS (SELECT *, sum(p::INT) OVER (PARTITION BY email_id ORDER BY order_index, id) AS k FROM x), r AS (SELECT email_id, section_key, position, dense_rank() OVER (PARTITION BY email_id ORDER BY k) - 1 AS run_no FROM y WHERE NOT p),

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from galley.functions.predicates import confidence_band, without_fence
+from galley.functions import rules
+from galley.functions.predicates import confidence_band, unwrapped
 from galley.operators import compose as O
 from galley.operators import scorer as C
 from galley.operators import state as R
@@ -34,8 +35,8 @@ def s01_recent(spark, root):
 
 
 def s03_listing(spark, root):
-    first = table(spark, root, "messages")
-    return S.listing(first, 100, after="00400000")
+    """All pages of the listing: page number and message id."""
+    return S.pages(table(spark, root, "messages"), 100)
 
 
 def k03_missing_labels(spark, root):
@@ -60,7 +61,8 @@ def r01_upsert(spark, root):
 
 def r02_append(spark, root):
     log, s = _log(spark, root), _sections(spark, root)
-    rows = log.where("kind = 'router'").withColumn("email_id", F.when(F.col("category").isNull(), F.col("email_id") + 1).otherwise(F.col("email_id")))
+    # with faults: every second row names the next email, every third a category of its own
+    rows = log.where("kind = 'router'").withColumns({"email_id": F.col("email_id") + F.when(F.col("id") % 2 == 0, 1).otherwise(0), "category": F.when(F.col("id") % 3 == 0, "RADAR").otherwise(F.col("category"))})
     after, refused = R.append_checked(log, rows, s)
     a = after.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("id").alias("n_ids"), F.max("id").alias("max_id")).withColumn("part", F.lit("log"))
     b = refused.agg(F.count(F.lit(1)).alias("n"), F.lit(0).cast("long").alias("n_ids"), F.lit(0).cast("long").alias("max_id")).withColumn("part", F.lit("refused"))
@@ -101,7 +103,7 @@ def r09_delete(spark, root):
 def r10_profile_cache(spark, root):
     log = _log(spark, root)
     top = R.latest(log.where("kind = 'classifier'"), ["email_id", "content_unit_key"])
-    profile = top.where(F.get_json_object(without_fence(F.col("payload")), "$.routing_source") == "sender_profile")
+    profile = top.where(F.get_json_object(unwrapped(F.col("payload")), "$.routing_source") == "sender_profile")
     done = log.where("kind in ('technology', 'leadership', 'technical_longform')").select("email_id", "content_unit_key").distinct()
     return profile.where("content_unit_key is not null").join(done, ["email_id", "content_unit_key"], "left_semi").select("email_id", "content_unit_key")
 
@@ -143,18 +145,8 @@ def r24_card_caps(spark, root):
     return top.groupBy("email_id", "kind").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
 
 
-def c02_unfence(spark, root):
-    x = _log(spark, root).where(F.col("payload").startswith("```"))
-    return x.select("id", F.md5(without_fence(F.col("payload"))).alias("payload_md5"))
 
 
-def c03_links(spark, root):
-    log = _log(spark, root).where("kind = 'radar'")
-    items = log.select("id", "email_section_id", F.explode(F.from_json("payload", "struct<items:array<struct<entity:string,url:string>>>")["items"]).alias("i"))
-    urls = items.where("i.url is not null").groupBy("id", "email_section_id").agg(F.array_sort(F.collect_set("i.url")).alias("urls"))
-    allowed = _sections(spark, root).select(F.col("id").alias("email_section_id"), "links")
-    x = urls.join(allowed, "email_section_id", "left")
-    return x.select("id", F.size("urls").cast("long").alias("n_urls"), F.array_join(C.link_errors(F.col("urls"), F.col("links")), ",").alias("errors"))
 
 
 def c11_prompts(spark, root):
@@ -186,13 +178,13 @@ def c01_scored(spark, root):
 
 
 def d20_bands(spark, root):
-    x = _log(spark, root).where("kind in ('classifier', 'router')").select("id", F.try_to_number(F.get_json_object("payload", "$.confidence"), F.lit("9.99")).cast("double").alias("c"))
+    x = _log(spark, root).where("kind in ('classifier', 'router')").select("id", F.try_to_number(F.get_json_object(unwrapped(F.col("payload")), "$.confidence"), F.lit("9.99")).cast("double").alias("c"))
     return x.where("c is not null").select("id", confidence_band(F.col("c")).alias("band"))
 
 
 def _facts(spark, root):
     schema = "struct<cards:array<struct<facts:array<struct<entity:string,fact:string,importance_score:string>>>>>"
-    x = _log(spark, root).where("kind = 'ainews_radar_digest'").select("id", F.from_json("payload", schema)["cards"].alias("cards"))
+    x = _log(spark, root).where("kind = 'ainews_radar_digest'").select("id", F.from_json(unwrapped(F.col("payload")), schema)["cards"].alias("cards"))
     f = x.select("id", F.posexplode(F.flatten(F.transform("cards", lambda c: F.coalesce(c["facts"], F.array().cast("array<struct<entity:string,fact:string,importance_score:string>>"))))).alias("place", "f"))
     return f.select("id", "place", "f.entity", "f.fact", F.coalesce(F.try_to_number("f.importance_score", F.lit("9")).cast("int"), F.lit(3)).alias("importance"))
 
@@ -219,49 +211,44 @@ def o04_warnings(spark, root):
     return O.warnings(R.latest_outputs(_log(spark, root), _sections(spark, root)))
 
 
-def o07_items(spark, root):
-    x = R.latest_outputs(_log(spark, root), _sections(spark, root)).where("kind = 'radar'")
-    y = x.select("id", "email_id", F.posexplode(F.from_json("payload", "struct<items:array<struct<entity:string,impact_or_action:string,url:string>>>")["items"]).alias("place", "i"))
-    return y.select("id", "email_id", "place", "i.entity", "i.url")
 
 
 def o08_card_split(spark, root):
     return O.cards(_log(spark, root)).groupBy("id").agg(F.sum((F.col("role") == "top_story").cast("long")).alias("n_top"), F.sum((F.col("role") == "recap").cast("long")).alias("n_recap"))
 
 
-def k01_pages(spark, root):
-    """A page per email from its radar items, in order."""
-    items = o07_items(spark, root).join(O.labels(table(spark, root, "emails")).select("email_id", "subject"), "email_id")
-    rows = items.select("email_id", F.struct("id", "place").alias("place"), F.col("entity").alias("heading"), F.col("url").alias("body"), "subject")
-    return O.page(rows, "email_id", F.lit("Daily digest")).select("email_id", F.md5("html").alias("html_md5"), F.length("html").cast("long").alias("n_chars"))
 
 
-QUERIES = {f"q_{f.__name__}": f for f in (s01_recent, s03_listing, k01_pages, k03_missing_labels, k04_label_actions, r01_upsert, r02_append, r03_replace, r04_cascade, r06_latest_by_section, r07_latest_by_unit, r08_latest, r09_delete, r10_profile_cache, r13_complete, r14_categories, r17_attach, r18_status, r19_candidates, r20_newest, r23_lookup, r24_card_caps, c01_scored, c02_unfence, c03_links, c11_prompts, d20_bands, c13_facts, c14_fallback, c15_cards, o03_shown, o04_warnings, o07_items, o08_card_split)}
+QUERIES = {f"q_{f.__name__}": f for f in (s01_recent, s03_listing, k03_missing_labels, k04_label_actions, r01_upsert, r02_append, r03_replace, r04_cascade, r06_latest_by_section, r07_latest_by_unit, r08_latest, r09_delete, r10_profile_cache, r13_complete, r14_categories, r17_attach, r18_status, r19_candidates, r20_newest, r23_lookup, r24_card_caps, c01_scored, c11_prompts, d20_bands, c13_facts, c14_fallback, c15_cards, o03_shown, o04_warnings, o08_card_split)}
 
 # --- the same in SQL -------------------------------------------------------------------------------------
 
 _LATEST = "(SELECT * EXCLUDE r FROM (SELECT *, row_number() OVER (PARTITION BY {1} ORDER BY id DESC) AS r FROM agent_outputs WHERE {0}) WHERE r = 1)"
 _TOP = _LATEST.format("true", "email_id, email_section_id, content_unit_key, kind")
 _ADDRESS = r"coalesce(nullif(regexp_extract(lower(sender), '<\s*([^<>\s]+@[^<>\s]+)\s*>', 1), ''), nullif(regexp_extract(lower(sender), '([^\s<>\"''(),;:]+@[^\s<>\"''(),;:]+)', 1), ''))"
+_TOPLOG = _TOP.replace("FROM agent_outputs", "FROM log")
 _KINDS = ", ".join(f"'{k}'" for k in O.KINDS)
 _RANK = "CASE kind " + " ".join(f"WHEN '{k}' THEN {r}" for k, (r, _) in O.KINDS.items()) + " ELSE 99 END"
 _OF = "CASE kind " + " ".join(f"WHEN '{k}' THEN '{c}'" for k, (_, c) in O.KINDS.items()) + " END"
 _CAT = "CASE WHEN category IN ('EVERY_BUNDLE', 'MULTI_BUNDLE') THEN 'TECHNOLOGY' WHEN category = 'NOISE' THEN 'COURSES' ELSE category END"
 _LABELS = r"SELECT id AS email_id, CASE WHEN coalesce(subject, '') <> '' THEN subject ELSE 'Email #' || id END AS subject, nullif(regexp_replace(sender, '^[\s\x{a0}]+|[\s\x{a0}]+$', '', 'g'), '') AS sender FROM emails"
 
+_FACTS = """fl AS (SELECT id, flatten(list_transform(CASE WHEN json_type(j, '$.cards') = 'ARRAY' THEN json_extract(j, '$.cards[*]') ELSE [] END, lambda c: CASE WHEN json_type(c, '$.facts') = 'ARRAY' THEN json_extract(c, '$.facts[*]') ELSE [] END)) AS l FROM log WHERE kind = 'ainews_radar_digest' AND j IS NOT NULL),
+    fx AS (SELECT id, unnest(l) AS v, (generate_subscripts(l, 1) - 1)::INT AS place FROM fl), facts AS (SELECT id, place, json_extract_string(v, '$.entity') AS entity, json_extract_string(v, '$.fact') AS fact, coalesce(TRY_CAST(json_extract_string(v, '$.importance_score') AS INT), 3) AS importance FROM fx)"""
+
 ORACLE = {
     "q_k03_missing_labels": "SELECT DISTINCT l AS label FROM (SELECT unnest(label_ids) AS l FROM messages) WHERE l NOT IN (SELECT l FROM (SELECT unnest(label_ids) AS l FROM messages) GROUP BY 1 HAVING count(*) * 2 >= (SELECT count(*) FROM messages))",
     "q_k04_label_actions": "SELECT message_id, CASE status WHEN 'archived' THEN 'digest-done' WHEN 'failed' THEN 'digest-error' ELSE '' END AS \"add\", CASE status WHEN 'archived' THEN 'INBOX' ELSE '' END AS remove FROM emails WHERE status IN ('archived', 'failed')",
     "q_s01_recent": f"""WITH t AS (SELECT message_id, min(created_at) AS taken_at FROM emails GROUP BY 1), m AS (SELECT m.*, {_ADDRESS} AS a, split_part({_ADDRESS}, '@', -1) AS dom FROM messages m JOIN t USING (message_id) WHERE taken_at > TIMESTAMPTZ '2025-01-01 00:00:00+00' - INTERVAL 365 DAY)
         SELECT DISTINCT message_id, sender FROM m WHERE (a = 'team@brabedell-notes.example' OR contains(dom, 'letter.example') OR contains(dom, 'post.example') OR contains(dom, 'brafemet-post.example')) AND NOT list_contains(coalesce(label_ids, []), 'digest-done')""",
-    "q_s03_listing": "SELECT DISTINCT message_id FROM messages WHERE message_id > '00400000' ORDER BY 1 LIMIT 100",
+    "q_s03_listing": "SELECT (row_number() OVER (ORDER BY message_id) - 1) // 100 AS page, message_id FROM (SELECT DISTINCT message_id FROM messages WHERE message_id IS NOT NULL AND NOT list_has_any(coalesce(label_ids, []), ['SPAM', 'TRASH']))",
     "q_r01_upsert": """WITH ranked AS (SELECT *, row_number() OVER (PARTITION BY message_id ORDER BY len(coalesce(label_ids, [])) DESC, coalesce(thread_id, '') DESC, coalesce(subject, '') DESC, coalesce(sender, '') DESC, coalesce(snippet, '') DESC, coalesce(received_at, '') DESC) AS r FROM messages WHERE message_id IS NOT NULL),
             one AS (SELECT * FROM ranked WHERE r = 1), b AS (SELECT e.id, coalesce(e.message_id, i.message_id) AS message_id, i.message_id IS NOT NULL AS hit, e.subject AS es, i.subject AS isb, e.sender AS esd, i.sender AS isd, e.status, e.retry_count, e.error_message, e.received_at AS er, i.received_at AS ir FROM emails e FULL JOIN one i ON e.message_id = i.message_id),
             n AS (SELECT message_id, row_number() OVER (ORDER BY substr(md5(message_id), 1, 2), message_id) + (SELECT max(id) FROM emails) AS nid FROM b WHERE id IS NULL)
         SELECT coalesce(b.id, n.nid) AS id, b.message_id, CASE WHEN hit THEN isb ELSE es END AS subject, CASE WHEN hit THEN isd ELSE esd END AS sender, CASE WHEN hit THEN 'pending' ELSE status END AS status, CASE WHEN hit THEN 0 ELSE retry_count END AS retry_count,
             CASE WHEN hit THEN NULL ELSE error_message END AS error_message, CASE WHEN hit THEN coalesce(ir, er) ELSE er END AS received_at FROM b LEFT JOIN n USING (message_id)""",
-    "q_r02_append": """WITH rows AS (SELECT id, CASE WHEN category IS NULL THEN email_id + 1 ELSE email_id END AS email_id, email_section_id FROM agent_outputs WHERE kind = 'router'),
-            c AS (SELECT coalesce(r.email_section_id IS NULL OR s.email_id = r.email_id, false) AS fine FROM rows r LEFT JOIN email_sections s ON s.id = r.email_section_id)
+    "q_r02_append": f"""WITH {SQL.peeled()}, rows AS (SELECT CASE WHEN id % 2 = 0 THEN email_id + 1 ELSE email_id END AS email_id, email_section_id, CASE WHEN id % 3 = 0 THEN 'RADAR' ELSE category END AS category, json_extract_string(j, '$.category') AS named FROM log WHERE kind = 'router'),
+            c AS (SELECT coalesce((r.email_section_id IS NULL OR s.email_id = r.email_id) AND named IS NOT NULL AND coalesce(category = named, true), false) AS fine FROM rows r LEFT JOIN email_sections s ON s.id = r.email_section_id)
         SELECT 'log' AS part, (SELECT count(*) FROM agent_outputs) + (SELECT count(*) FROM c WHERE fine) AS n, (SELECT count(*) FROM agent_outputs) + (SELECT count(*) FROM c WHERE fine) AS n_ids, (SELECT max(id) FROM agent_outputs) + (SELECT count(*) FROM c WHERE fine) AS max_id
         UNION ALL SELECT 'refused', (SELECT count(*) FROM c WHERE NOT fine), 0, 0""",
     "q_r03_replace": f"""WITH parsed AS (SELECT email_id, section_key, sha256(CAST(to_json({{'links': coalesce(links, []), 'text': {SQL.truncated('text', 8000)}}}) AS VARCHAR)) AS h FROM email_sections WHERE heading IS NOT NULL),
@@ -283,11 +270,10 @@ ORACLE = {
     "q_r20_newest": "SELECT strftime(created_at AT TIME ZONE 'UTC', '%Y-%m-%d') AS day, id, status FROM (SELECT *, row_number() OVER (PARTITION BY strftime(created_at AT TIME ZONE 'UTC', '%Y-%m-%d') ORDER BY created_at DESC, id DESC) AS r FROM digests) WHERE r = 1",
     "q_r23_lookup": _LABELS,
     "q_r24_card_caps": f"SELECT email_id, kind, count(*) AS n FROM {_LATEST.format('''kind IN ('technology', 'leadership', 'technical_longform')''', 'email_id, email_section_id, content_unit_key, kind')} GROUP BY 1, 2 HAVING count(*) > 1",
-    "q_c02_unfence": r"SELECT id, md5(CASE WHEN regexp_matches(p, '(?s)^```[A-Za-z0-9]*\s*.*?\s*```$') THEN regexp_extract(p, '(?s)^```[A-Za-z0-9]*\s*(.*?)\s*```$', 1) ELSE p END) AS payload_md5 FROM (SELECT id, regexp_replace(payload, '^\s+|\s+$', '', 'g') AS p FROM agent_outputs WHERE starts_with(payload, '```'))",
     "q_c11_prompts": f"""WITH l AS ({_LABELS}), p AS (SELECT s.id AS section_id, concat_ws(chr(10) || chr(10), 'Subject: ' || l.subject, 'Heading: ' || nullif(heading, ''), CASE WHEN len(links) > 0 THEN 'Links:' || chr(10) || array_to_string(list_transform(links, lambda u, i: i || '. ' || u), chr(10)) END, 'Text: ' || nullif(text, '')) AS t FROM email_sections s JOIN l USING (email_id))
         SELECT section_id, md5(t) AS prompt_md5, length(t) AS n_chars FROM p""",
-    "q_o03_shown": f"""WITH t AS {_TOP}, dg AS (SELECT DISTINCT email_id FROM t WHERE kind = 'ainews_radar_digest' AND email_section_id IS NULL), k AS (SELECT DISTINCT email_id, content_unit_key FROM t WHERE kind = 'classifier' AND content_unit_key IS NOT NULL),
-            pr AS (SELECT email_id, arg_max(content_unit_key, id) AS pu FROM t WHERE kind = 'classifier' AND content_unit_key IS NOT NULL AND CASE WHEN json_valid(payload) THEN json_extract_string(payload, '$.routing_source') = 'sender_profile' ELSE false END GROUP BY 1)
+    "q_o03_shown": f"""WITH {SQL.peeled()}, t AS {_TOPLOG}, dg AS (SELECT DISTINCT email_id FROM t WHERE kind = 'ainews_radar_digest' AND email_section_id IS NULL), k AS (SELECT DISTINCT email_id, content_unit_key FROM t WHERE kind = 'classifier' AND content_unit_key IS NOT NULL),
+            pr AS (SELECT email_id, arg_max(content_unit_key, id) AS pu FROM t WHERE kind = 'classifier' AND content_unit_key IS NOT NULL AND coalesce(json_extract_string(j, '$.routing_source') = 'sender_profile', false) GROUP BY 1)
         SELECT t.id, t.email_id, t.kind, coalesce(s.order_index, {O.LAST}) AS section_place, coalesce(t.content_unit_key, '') AS unit_place, {_RANK} AS kind_place FROM t LEFT JOIN email_sections s ON s.id = t.email_section_id LEFT JOIN pr ON pr.email_id = t.email_id
         WHERE kind IN ({_KINDS}) AND (t.email_section_id IS NOT NULL OR t.content_unit_key IS NOT NULL) AND t.email_id NOT IN (SELECT email_id FROM dg) AND (t.content_unit_key IS NULL OR EXISTS (SELECT 1 FROM k WHERE k.email_id = t.email_id AND k.content_unit_key = t.content_unit_key))
             AND (t.content_unit_key IS NULL OR pu IS NULL OR pu = t.content_unit_key)""",
@@ -295,21 +281,19 @@ ORACLE = {
         SELECT id, email_id, kind, 'legacy_email_level_processor' AS warning FROM x WHERE email_section_id IS NULL AND content_unit_key IS NULL AND kind <> 'ainews_radar_digest'
         UNION ALL SELECT id, email_id, kind, 'unit_processor_without_classifier' FROM x WHERE content_unit_key IS NOT NULL AND NOT EXISTS (SELECT 1 FROM k WHERE k.email_id = x.email_id AND k.content_unit_key = x.content_unit_key)
         UNION ALL SELECT id, email_id, kind, CASE WHEN coalesce(cat, '') NOT IN ('TECHNOLOGY', 'RADAR', 'LEADERSHIP', 'COURSES') THEN 'invalid_category' ELSE 'category_kind_mismatch' END FROM x WHERE coalesce(cat, '') NOT IN ('TECHNOLOGY', 'RADAR', 'LEADERSHIP', 'COURSES') OR cat <> {_OF}""",
-    "q_o07_items": f"""WITH t AS (SELECT * FROM {_TOP} WHERE kind = 'radar' AND json_valid(payload)), i AS (SELECT id, email_id, CASE WHEN json_type(payload, '$.items') = 'ARRAY' THEN json_extract(payload, '$.items[*]') ELSE [] END AS l FROM t),
-            x AS (SELECT id, email_id, unnest(l) AS v, generate_subscripts(l, 1) - 1 AS place FROM i) SELECT id, email_id, place::INT AS place, json_extract_string(v, '$.entity') AS entity, json_extract_string(v, '$.url') AS url FROM x""",
-    "q_o08_card_split": """WITH i AS (SELECT id, CASE WHEN json_type(payload, '$.cards') = 'ARRAY' THEN json_extract(payload, '$.cards[*]') ELSE [] END AS l FROM agent_outputs WHERE kind = 'ainews_radar_digest' AND json_valid(payload)),
+    "q_c13_facts": f"""WITH {SQL.peeled()}, {_FACTS}, r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY importance DESC, entity NULLS FIRST, place) AS rank FROM facts WHERE importance > 2 AND NOT regexp_matches(concat_ws(' ', coalesce(entity, ''), coalesce(fact, '')), {SQL.q(rules.FACT_NOISE_PATTERN)}))
+        SELECT id, place, entity, importance, rank::INT AS rank FROM r WHERE rank <= 3""",
+    "q_c14_fallback": f"""WITH {SQL.peeled()}, {_FACTS}, kept AS (SELECT DISTINCT id FROM facts WHERE importance > 2 AND NOT regexp_matches(concat_ws(' ', coalesce(entity, ''), coalesce(fact, '')), '(?i)a')),
+            r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY importance DESC, place) AS rank FROM facts WHERE id NOT IN (SELECT id FROM kept)) SELECT id, place, entity, importance, rank::INT AS rank FROM r WHERE rank <= 2""",
+    "q_o08_card_split": f"""WITH {SQL.peeled()}, i AS (SELECT id, CASE WHEN json_type(j, '$.cards') = 'ARRAY' THEN json_extract(j, '$.cards[*]') ELSE [] END AS l FROM log WHERE kind = 'ainews_radar_digest' AND j IS NOT NULL),
             x AS (SELECT id, json_extract_string(unnest(l), '$.role') AS role FROM i) SELECT id, sum((role = 'top_story')::INT)::BIGINT AS n_top, sum((role = 'recap')::INT)::BIGINT AS n_recap FROM x GROUP BY 1""",
-    "q_c15_cards": """WITH i AS (SELECT id, CASE WHEN json_type(payload, '$.cards') = 'ARRAY' THEN json_extract(payload, '$.cards[*]') ELSE [] END AS l FROM agent_outputs WHERE kind = 'ainews_radar_digest' AND json_valid(payload)),
+    "q_c15_cards": f"""WITH {SQL.peeled()}, i AS (SELECT id, CASE WHEN json_type(j, '$.cards') = 'ARRAY' THEN json_extract(j, '$.cards[*]') ELSE [] END AS l FROM log WHERE kind = 'ainews_radar_digest' AND j IS NOT NULL),
             x AS (SELECT id, unnest(l) AS v, (generate_subscripts(l, 1) - 1)::INT AS card_no FROM i), y AS (SELECT id, card_no, json_extract_string(v, '$.role') AS r, json_extract_string(v, '$.title') AS title FROM x),
             z AS (SELECT *, CASE WHEN r = 'top_story' AND sum((r = 'top_story')::INT) OVER w = 1 THEN 'top_story' ELSE 'recap' END AS role FROM y WINDOW w AS (PARTITION BY id ORDER BY card_no)),
             q AS (SELECT *, sum((role = 'recap')::INT) OVER (PARTITION BY id ORDER BY card_no) AS rr FROM z), k AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY card_no) AS n FROM q WHERE role = 'top_story' OR rr <= 2)
         SELECT id, card_no, role, title FROM k WHERE n <= 3""",
-    "q_c03_links": """WITH i AS (SELECT id, email_section_id, unnest(CASE WHEN json_type(payload, '$.items') = 'ARRAY' THEN json_extract(payload, '$.items[*]') ELSE [] END) AS v FROM agent_outputs WHERE kind = 'radar' AND json_valid(payload)),
-            u AS (SELECT id, email_section_id, list(DISTINCT json_extract_string(v, '$.url')) AS urls FROM i WHERE json_extract_string(v, '$.url') IS NOT NULL GROUP BY 1, 2)
-        SELECT u.id, len(urls) AS n_urls, concat_ws(',', CASE WHEN len(list_filter(urls, lambda x: NOT starts_with(x, 'https://'))) > 0 THEN 'not_https' END, CASE WHEN len(list_filter(urls, lambda x: NOT list_contains(coalesce(links, []), x))) > 0 THEN 'outside_allowlist' END) AS errors FROM u LEFT JOIN email_sections s ON s.id = u.email_section_id""",
-    "q_r10_profile_cache": r"""WITH p AS (SELECT *, regexp_replace(payload, '^[\s]+|[\s]+$', '', 'g') AS s FROM (SELECT *, row_number() OVER (PARTITION BY email_id, content_unit_key ORDER BY id DESC) AS r FROM agent_outputs WHERE kind = 'classifier') WHERE r = 1),
-            q AS (SELECT *, CASE WHEN regexp_matches(s, '(?s)^```[A-Za-z0-9]*\s*.*?\s*```$') THEN regexp_extract(s, '(?s)^```[A-Za-z0-9]*\s*(.*?)\s*```$', 1) ELSE s END AS j FROM p)
-        SELECT email_id, content_unit_key FROM q WHERE content_unit_key IS NOT NULL AND json_valid(j) AND json_extract_string(j, '$.routing_source') = 'sender_profile'
+    "q_r10_profile_cache": f"""WITH {SQL.peeled()}, q AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY email_id, content_unit_key ORDER BY id DESC) AS r FROM log WHERE kind = 'classifier') WHERE r = 1)
+        SELECT email_id, content_unit_key FROM q WHERE content_unit_key IS NOT NULL AND json_extract_string(j, '$.routing_source') = 'sender_profile'
             AND EXISTS (SELECT 1 FROM agent_outputs o WHERE o.email_id = q.email_id AND o.content_unit_key = q.content_unit_key AND o.kind IN ('technology', 'leadership', 'technical_longform'))""",
-    "q_d20_bands": "SELECT id, CASE WHEN c < 0.55 THEN 'fail' WHEN c < 0.75 THEN 'warn' ELSE 'process' END AS band FROM (SELECT id, TRY_CAST(json_extract_string(payload, '$.confidence') AS DOUBLE) AS c FROM agent_outputs WHERE kind IN ('classifier', 'router') AND json_valid(payload)) WHERE c IS NOT NULL",
+    "q_d20_bands": f"WITH {SQL.peeled()} SELECT id, CASE WHEN c < 0.55 THEN 'fail' WHEN c < 0.75 THEN 'warn' ELSE 'process' END AS band FROM (SELECT id, TRY_CAST(json_extract_string(j, '$.confidence') AS DOUBLE) AS c FROM log WHERE kind IN ('classifier', 'router') AND j IS NOT NULL) WHERE c IS NOT NULL",
 }

@@ -53,6 +53,21 @@ def listing(messages: DataFrame, page_size: int, after: str | None = None) -> Da
     return ids.orderBy("message_id").limit(page_size)
 
 
+def pages(messages: DataFrame, page_size: int, most: int | None = None) -> DataFrame:
+    """page (from 0) and message_id of all pages of the distinct ids in order, spam and trash left out, the ``most`` first ids at most.
+
+    Ids are numbered within ranges: a range is what ids with the same first bytes
+    of their hash-free order share, so no task orders all of them.
+    """
+    from galley.operators.state import numbered
+
+    labels = F.coalesce("label_ids", F.array().cast("array<string>"))
+    fine = messages.where(F.col("message_id").isNotNull() & ~F.arrays_overlap(labels, F.array(F.lit("SPAM"), F.lit("TRASH"))))
+    x = numbered(fine.select("message_id").distinct(), "message_id")
+    x = x.where(F.col("n") < most) if most is not None else x
+    return x.select(F.floor(F.col("n") / page_size).alias("page"), "message_id")
+
+
 def headers(c: Column, name: str) -> Column:
     """The value of a header in ARRAY<STRUCT(name, value)>, whatever the case of its name."""
     return F.get(F.filter(c, lambda h: F.lower(h["name"]) == name.lower()), F.lit(0))["value"]
@@ -98,3 +113,13 @@ def missing_labels(wanted: DataFrame, existing: DataFrame) -> DataFrame:
 def label_actions(emails: DataFrame, add: Column, remove: Column) -> DataFrame:
     """message_id, add and remove of the emails for which there is something to do."""
     return emails.select("message_id", add.alias("add"), remove.alias("remove")).where((F.size("add") > 0) | (F.size("remove") > 0))
+
+
+def header_of(messages: DataFrame, ids: DataFrame, name: str) -> DataFrame:
+    """message_id and the value of a header (null where it is missing) of the listed messages (headers: ARRAY<STRUCT(name, value)>)."""
+    return messages.join(ids.select("message_id").distinct(), "message_id", "left_semi").select("message_id", headers(F.col("headers"), name).alias("value"))
+
+
+def body_by_id(messages: DataFrame, ids: DataFrame) -> DataFrame:
+    """message_id and html of the listed messages (payload: JSON of nested parts)."""
+    return messages.join(ids.select("message_id").distinct(), "message_id", "left_semi").select("message_id", body_html(F.col("payload")).alias("html"))
