@@ -30,38 +30,38 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-NODE_SCHEMA = "{key} long, node_path string, parent_path string, node_no int, parent_no int, depth int, field string, list_index int, body string"
+NODE_SCHEMA = "k {key}, node_path string, parent_path string, node_no int, parent_no int, depth int, field string, list_index int, body string"
 
-_FENCE = re.compile(r"\A`{3,}[^\S\r\n]*[A-Za-z0-9_+.-]*\s*(.*?)\s*`{3,}\Z", re.S)
+_FENCE = r"(?s)\A`{3,}[^\S\r\n]*[A-Za-z0-9_+.\-]*\s*(?P<body>.*?)\s*`{3,}\z"
 _SPACE = " \t\r\n\f\v                 　\u0085﻿​"
 _SCALAR = re.compile(rb"\A(?:true|false|null|-?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?)\Z")
-_MAX_PEEL = 64
 #: Payload bytes that are flattened at once.
 SLICE_BYTES = 4 << 20
 
 
-def unwrap(text: str | None) -> str | None:
-    """The JSON text of a payload without wrapping, or None where nothing is left."""
-    if text is None:
+def _from_string(text: str) -> str | None:
+    try:
+        inner = json.loads(text)
+    except ValueError:
         return None
-    for _ in range(_MAX_PEEL):
-        text = text.strip(_SPACE)
-        if text.startswith("```"):
-            m = _FENCE.match(text)
-            if not m:
-                return None
-            text = m.group(1)
-        elif text.startswith('"'):
-            try:
-                inner = json.loads(text)
-            except ValueError:
-                return None
-            if not isinstance(inner, str):
-                return None
-            text = inner
-        else:
-            return text or None
-    return None
+    return inner if isinstance(inner, str) else None
+
+
+def unwrapped(texts: pa.Array) -> pa.Array:
+    """The JSON texts of a batch of payloads without wrapping, null where nothing is left; each round peels all rows that still have one."""
+    texts = pc.utf8_trim(texts.cast(pa.string()), characters=_SPACE)
+    while True:
+        fenced, quoted = (pc.fill_null(pc.starts_with(texts, x), False) for x in ("```", '"'))
+        if not pc.any(pc.or_(fenced, quoted)).as_py():
+            return pc.if_else(pc.equal(texts, ""), pa.scalar(None, pa.string()), texts)
+        if pc.any(fenced).as_py():
+            inner = pc.extract_regex(texts, _FENCE)
+            body = pc.struct_field(inner, "body") if len(inner) else pa.array([], pa.string())
+            texts = pc.if_else(fenced, body, texts)
+        if pc.any(quoted).as_py():
+            # a string's own escapes are its content's: only these rows are decoded one by one
+            texts = pc.replace_with_mask(texts, quoted, pa.array([_from_string(t) for t in texts.filter(quoted).to_pylist()], pa.string()))
+        texts = pc.utf8_trim(texts, characters=_SPACE)
 
 
 def _classes() -> np.ndarray:
@@ -74,6 +74,9 @@ def _classes() -> np.ndarray:
 _CLASS = _classes()
 _OPEN_OBJ, _CLOSE_OBJ, _OPEN_ARR, _CLOSE_ARR, _COMMA, _COLON = 1, 2, 3, 4, 5, 6
 _STR, _SCAL = 7, 8
+_ESCAPED, _HEX = np.zeros(256, bool), np.zeros(256, bool)
+_ESCAPED[list(b'"\\/bfnrt')] = True
+_HEX[list(b"0123456789abcdefABCDEF")] = True
 
 
 def _string_mask(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -97,16 +100,40 @@ def _string_mask(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return q, parity.astype(bool)
 
 
-def _flatten(texts: list[bytes], ordinals: np.ndarray) -> tuple[dict[str, np.ndarray | list], np.ndarray]:
+def _gathered(raw: np.ndarray, start: np.ndarray, end: np.ndarray, kind: pa.DataType) -> pa.Array:
+    """The byte ranges of a buffer as one Arrow array."""
+    count = (end - start).astype(np.int64)
+    offsets = np.r_[0, np.cumsum(count)]
+    at = np.repeat(start - offsets[:-1], count) + np.arange(offsets[-1])
+    return pa.Array.from_buffers(kind, len(start), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(raw[at])])
+
+
+def _bad_escapes(buf: np.ndarray, inside: np.ndarray) -> np.ndarray:
+    """Places of backslashes in strings that begin no escape of JSON."""
+    idx = np.flatnonzero((buf == 0x5C) & inside)
+    if not len(idx):
+        return idx
+    start = np.r_[True, np.diff(idx) > 1]
+    first = idx[start][np.cumsum(start) - 1]
+    idx = idx[(idx - first) % 2 == 0]  # the others are escaped themselves
+    padded = np.r_[buf, np.zeros(6, np.uint8)]
+    after = padded[idx + 1]
+    ok = _ESCAPED[after]
+    u = after == ord("u")
+    if u.any():
+        ok[u] = np.logical_and.reduce([_HEX[padded[idx[u] + j]] for j in range(2, 6)])
+    return idx[~ok]
+
+
+def _flatten(joined: pa.StringArray) -> tuple[dict[str, np.ndarray | list], np.ndarray]:
     """Nodes of all texts of a batch, and which texts are not valid JSON.
 
     Each text is followed by one newline, so tokens never run into each other.
     """
-    n = len(texts)
-    lengths = np.fromiter(map(len, texts), np.int64, n)
-    starts = np.r_[0, np.cumsum(lengths + 1)][:-1]
-    raw = b"\n".join(texts) + b"\n"
-    buf = np.frombuffer(raw, np.uint8)
+    n = len(joined)
+    offsets = np.frombuffer(joined.buffers()[1], np.int32)[joined.offset : joined.offset + n + 1].astype(np.int64)
+    starts = offsets[:-1] - offsets[0]
+    buf = np.frombuffer(joined.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
     bad = np.zeros(n, bool)
 
     # strings must close within their row: check parity per row
@@ -205,22 +232,10 @@ def _flatten(texts: list[bytes], ordinals: np.ndarray) -> tuple[dict[str, np.nda
     # a string right after a comma in an object is a key: `prev_is_key` covers it; scalars are matched by their spelling
     sc = np.flatnonzero(tok == _SCAL)
     if len(sc):
-        spelt = {}
-        for i in sc:
-            s = raw[pos[i] : end[i]]
-            good = spelt.get(s)
-            if good is None:
-                good = spelt[s] = bool(_SCALAR.match(s))
-            if not good:
-                bad[row[i]] = True
-    # escapes of strings: only rows that hold a backslash are looked at
-    if (buf == 0x5C).any():
-        rows_with = np.unique(row_of(np.flatnonzero(buf == 0x5C)))
-        for r in rows_with[~bad[rows_with]]:
-            try:
-                json.loads(texts[r])
-            except ValueError:
-                bad[r] = True
+        spelt = _gathered(buf, pos[sc], end[sc], pa.binary()).dictionary_encode()
+        good = np.array([bool(_SCALAR.match(x)) for x in spelt.dictionary.to_pylist()])
+        bad[row[sc[~good[spelt.indices.to_numpy()]]]] = True
+    bad[row_of(_bad_escapes(buf, inside))] = True
     if bad.any():
         return {}, bad
 
@@ -236,37 +251,32 @@ def _flatten(texts: list[bytes], ordinals: np.ndarray) -> tuple[dict[str, np.nda
     first_of = np.searchsorted(comma_holder * stride + commas, obj_holder * stride)
     index = (place - first_of).astype(np.int64)
     key_tok = objects - 2  # key, colon, value
-    return {"raw": raw, "tok": tok, "pos": pos, "end": end, "row": row, "openers": objects, "holder": obj_holder, "index": index, "key_tok": key_tok, "closers": np.flatnonzero(is_close), "closer_holder": closer_holder, "in_obj": in_obj[objects], "in_arr": in_arr[objects]}, bad
-
-
-def _keys(raw: bytes, pos: np.ndarray, end: np.ndarray, toks: np.ndarray) -> list[str]:
-    seen: dict[bytes, str] = {}
-    out = []
-    for a, b in zip(pos[toks].tolist(), end[toks].tolist(), strict=True):
-        s = raw[a:b]
-        k = seen.get(s)
-        if k is None:
-            k = seen[s] = json.loads(s)
-        out.append(k)
-    return out
+    return {"raw": buf, "tok": tok, "pos": pos, "end": end, "row": row, "openers": objects, "holder": obj_holder, "index": index, "key_tok": key_tok, "closers": np.flatnonzero(is_close), "closer_holder": closer_holder, "in_obj": in_obj[objects], "in_arr": in_arr[objects]}, bad
+
+
+def _keys(raw: np.ndarray, pos: np.ndarray, end: np.ndarray, toks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(codes, names): the names of key tokens; each different spelling is decoded once, equal names have one code."""
+    spelt = _gathered(raw, pos[toks], end[toks], pa.binary()).dictionary_encode()
+    names = np.array([json.loads(x) for x in spelt.dictionary.to_pylist()], object)
+    number: dict[str, int] = {}
+    code = np.array([number.setdefault(x, len(number)) for x in names], np.int64)
+    at = spelt.indices.to_numpy()
+    return (code[at], names[at]) if len(names) else (np.zeros(0, np.int64), names)
 
 
 def flatten_batch(ids: pa.Array, payloads: pa.Array, with_body: bool = True) -> pa.RecordBatch | None:
     """The node rows of one Arrow batch of payloads; None where there is no row."""
-    kept, owner = [], []
-    for i, p in enumerate(payloads.to_pylist()):
-        t = unwrap(p)
-        if t is not None and t[0] in "{[":
-            kept.append(t.encode("utf-8", "surrogatepass"))
-            owner.append(i)
-    owner_a = np.array(owner, np.int64)
-    while kept:
-        nodes, bad = _flatten(kept, owner_a)
+    texts = unwrapped(payloads)
+    first = pc.utf8_slice_codeunits(texts, 0, 1)
+    owner_a = np.flatnonzero(pc.fill_null(pc.or_(pc.equal(first, "{"), pc.equal(first, "[")), False).to_numpy(zero_copy_only=False))
+    kept = pc.binary_join_element_wise(texts.take(pa.array(owner_a)), "\n", "")
+    while len(kept):
+        nodes, bad = _flatten(kept)
         if not bad.any():
             break
         keep = np.flatnonzero(~bad)
-        kept, owner_a = [kept[i] for i in keep], owner_a[keep]
-    if not kept:
+        kept, owner_a = kept.take(pa.array(keep)), owner_a[keep]
+    if not len(kept):
         return None
     tok, pos, end, row, openers = nodes["tok"], nodes["pos"], nodes["end"], nodes["row"], nodes["openers"]
     raw, holder, index = nodes["raw"], nodes["holder"], nodes["index"]
@@ -278,23 +288,19 @@ def flatten_batch(ids: pa.Array, payloads: pa.Array, with_body: bool = True) ->
     is_object = tok[openers] == _OPEN_OBJ
     key = np.array([None] * len(openers), object)
     named = np.flatnonzero(nodes["in_obj"])
-    key[named] = _keys(raw, pos, end, nodes["key_tok"][named])
+    key[named] = _keys(raw, pos, end, nodes["key_tok"][named])[1]
 
     # of repeated names in one object the last counts: drop the earlier one and what it holds
     dead = np.zeros(len(openers), bool)
     all_keys = np.flatnonzero((tok == _STR) & np.r_[tok[1:] == _COLON, False])
     if len(all_keys):
         depth_holder = _key_holders(nodes, all_keys)
-        names = _keys(raw, pos, end, all_keys)
-        last: dict[tuple[int, str], int] = {}
-        doubled = False
-        for h, k, t in zip(depth_holder.tolist(), names, all_keys.tolist(), strict=True):
-            doubled |= (h, k) in last
-            last[h, k] = t
-        if doubled:
-            alive_key = {t for t in last.values()}
-            for j in named:
-                dead[j] = int(nodes["key_tok"][j]) not in alive_key
+        code, _ = _keys(raw, pos, end, all_keys)
+        by = np.lexsort((all_keys, code, depth_holder))
+        again = (depth_holder[by][1:] == depth_holder[by][:-1]) & (code[by][1:] == code[by][:-1])
+        if again.any():
+            earlier = all_keys[by[:-1][again]]
+            dead[named] = np.isin(nodes["key_tok"][named], earlier)
 
     # level by level: take the parent's path, append the own step
     level = np.full(len(openers), -1, np.int64)
@@ -335,10 +341,10 @@ def flatten_batch(ids: pa.Array, payloads: pa.Array, with_body: bool = True) ->
     node_no = np.arange(len(out)) - first_of_row + 1
     number_of = np.zeros(len(openers), np.int64)
     number_of[out] = node_no
-    body = [raw[a:b].decode("utf-8", "surrogatepass") for a, b in zip(pos[openers[out]].tolist(), end[close_of[openers[out]]].tolist(), strict=True)] if with_body else [None] * len(out)
+    body = _gathered(raw, pos[openers[out]], end[close_of[openers[out]]], pa.string()) if with_body else pa.nulls(len(out), pa.string())
     return pa.RecordBatch.from_arrays(
         [
-            pc.take(ids, pa.array(owner_a[row_out])).cast(pa.int64()),
+            pc.take(ids, pa.array(owner_a[row_out])),
             pa.array(path[out], pa.string()),
             pa.array(parent_path, pa.string()),
             pa.array(node_no, pa.int32()),
@@ -346,7 +352,7 @@ def flatten_batch(ids: pa.Array, payloads: pa.Array, with_body: bool = True) ->
             pa.array(level[out], pa.int32()),
             pa.array(key[out], pa.string()),
             pa.array(np.where(nodes["in_arr"][out], index[out], -1), pa.int32(), mask=~nodes["in_arr"][out]),
-            pa.array(body, pa.string()),
+            body,
         ],
         names=["k", "node_path", "parent_path", "node_no", "parent_no", "depth", "field", "list_index", "body"],
     )
@@ -377,17 +383,19 @@ def _slices(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
             yield b.slice(lo, hi - lo)
 
 
-def flatten_nested(df: DataFrame, key: str | Column, payload: str | Column, key_name: str = "output_id", with_body: bool = True) -> DataFrame:
+def flatten_nested(df: DataFrame, key: str | Column, payload: str | Column, key_name: str = "output_id", with_body: bool = True, carried: tuple[str, ...] = ()) -> DataFrame:
     """One row for each JSON object below the root of ``payload``.
 
     Columns: ``key_name``, node_path, parent_path, node_no and parent_no (numbers
     within the payload, 0 the root: the link to the parent row), depth, field,
-    list_index and the object's own text ``body`` (null without ``with_body``).
-    No shuffle; only the two named columns are read.
+    list_index and the object's own text ``body`` (null without ``with_body``),
+    then the ``carried`` columns of the payload's row.
+    No shuffle; only the named columns are read.
     """
     key = F.col(key) if isinstance(key, str) else key
     payload = F.col(payload) if isinstance(payload, str) else payload
-    slim = df.select(key.cast("long").alias("k"), payload.cast("string").alias("p")).where(payload.isNotNull())
+    row = F.struct(key.cast("long").alias("_key"), *[F.col(f"`{c}`") for c in carried])
+    slim = df.select(row.alias("k"), payload.cast("string").alias("p")).where(payload.isNotNull())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -396,7 +404,8 @@ def flatten_nested(df: DataFrame, key: str | Column, payload: str | Column, key_
                 if out is not None:
                     yield out
 
-    return slim.mapInArrow(run, NODE_SCHEMA.format(key="k")).withColumnRenamed("k", key_name)
+    nodes = slim.mapInArrow(run, NODE_SCHEMA.format(key=slim.schema["k"].dataType.simpleString()))
+    return nodes.select(F.col("k._key").alias(key_name), *nodes.columns[1:], *[F.col(f"k.`{c}`").alias(c) for c in carried])
 
 
 def child_table(nodes: DataFrame, fields: dict[str, str], where: Column, key_name: str = "output_id") -> DataFrame:

@@ -24,9 +24,8 @@ def p2_nodes(spark: SparkSession, root: str) -> DataFrame:
 
 def p2_tables(spark: SparkSession, root: str) -> DataFrame:
     """The flat tables the payloads give: kind of output, table (path without positions), rows, and parents they hang on."""
-    nodes = flatten_nested(table(spark, root, "agent_outputs"), "id", "payload", with_body=False)
-    kinds = table(spark, root, "agent_outputs").select(F.col("id").alias("output_id"), "kind")
-    x = nodes.withColumn("table_name", F.regexp_replace("node_path", r"\[\d+\]", "")).join(kinds, "output_id")
+    nodes = flatten_nested(table(spark, root, "agent_outputs"), "id", "payload", with_body=False, carried=("kind",))
+    x = nodes.withColumn("table_name", F.regexp_replace("node_path", r"\[\d+\]", ""))
     # a parent is one (output, parent number): rows are first counted by it
     per = x.groupBy("kind", "table_name", "output_id", "parent_no").agg(F.count(F.lit(1)).alias("n"))
     return per.groupBy("kind", "table_name").agg(F.sum("n").alias("n_rows"), F.count(F.lit(1)).alias("n_parents"), F.max("n").alias("most_children"))

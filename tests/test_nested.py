@@ -1,6 +1,7 @@
 """Nested payloads against a recursive walk."""
 
 import json
+import re
 
 import pyarrow as pa
 import pytest
@@ -8,7 +9,26 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from galley.operators.nested import child_table, flatten_batch, flatten_nested, unwrap
+from galley.operators.nested import child_table, flatten_batch, flatten_nested, unwrapped
+
+_BLANK = " \t\r\n\f\v\u00a0\u2028\u2029\u3000\u0085\ufeff\u200b"
+
+
+def unwrap(text):
+    """The same, one text at a time."""
+    while text is not None:
+        text = text.strip(_BLANK)
+        if text.startswith("```"):
+            m = re.match(r"\A`{3,}[^\S\r\n]*[A-Za-z0-9_+.-]*\s*(.*?)\s*`{3,}\Z", text, re.S)
+            text = m and m.group(1)
+        elif text.startswith('"'):
+            try:
+                text = json.loads(text)
+            except ValueError:
+                return None
+        else:
+            return text or None
+    return None
 
 
 def walk(payload):
@@ -105,3 +125,20 @@ def test_query(spark, data, query):
     import __spark_entry__
 
     assert __spark_entry__.queries()[query](spark, data).count() > 10
+
+
+def test_wrapped_as_often_as_it_is():
+    """No number of wrappings is too many: fences in fences, strings in strings, mixed."""
+    fences = "```json\n" * 70 + '{"a": {"b": {}}}' + "\n```" * 70
+    deep = '{"a": {}}'
+    for i in range(12):
+        deep = json.dumps(deep) if i % 2 else f"```\n{deep}\n```"
+    assert unwrapped(pa.array([fences, deep, "``` open", '"open', "``````", '"\\"{}\\""', None, " "])).to_pylist() == ['{"a": {"b": {}}}', '{"a": {}}', None, None, None, "{}", None, None]
+    got = flatten_batch(pa.array([1, 2]), pa.array([fences, deep]))
+    assert list(zip(got.column("k").to_pylist(), got.column("node_path").to_pylist(), strict=True)) == [(1, "a"), (1, "a.b"), (2, "a")]
+
+
+def test_escapes_and_doubled_names():
+    cases = [r'{"a": {"x": "\u12"}}', r'{"a": {"x": "\q"}}', r'{"a": {"x": "\u00e9\\\n"}}', r'{"a": {}, "\u0061": {"b": {}}}', r'{"a": [{"k": {}, "k": 1}], "a": 2, "b": {}}', '{"a": 01}', '{"a": {}} x']
+    got = flatten_batch(pa.array(range(len(cases))), pa.array(cases))
+    assert list(zip(got.column("k").to_pylist(), got.column("node_path").to_pylist(), strict=True)) == [(2, "a"), (3, "a"), (3, "a.b"), (4, "b")]
