@@ -1,14 +1,18 @@
 """Timestamps of many formats and zones to one UTC instant.
 
-Every text is split by five patterns into fields on the JVM side; a text may
-match more than one reading (day or month first).  Which reading a source uses
-is settled by expectation-maximisation over the format mixture of that source:
-each value gives its likelihood under each valid parse (0 where the calendar
-rules it out, the density of the delay until it was taken in where that is
-known), the posterior picks the reading, and what stays undecided is marked
-``ambiguous`` instead of being guessed.  A registry entry is a prior of 1.
-
-The EM runs inside one row per source (``aggregate`` over the iterations, on
+Every text is split by patterns into fields on the JVM side; a text may have two
+valid readings: day or month first in a date of digits and slashes (``order``), two
+zones of one abbreviation (``zone``), two centuries of a year of two digits
+(``century``).  Which reading a source uses is settled by expectation-maximisation
+over the mixture of the two in that source and kind: each value gives its likelihood under each valid
+parse (0 where the calendar rules it out, else the density of the delay until it was
+taken in), the posterior picks the reading, and what stays undecided is marked
+``ambiguous`` instead of being guessed.  The density of the delays is estimated
+from all values that have one reading only.  A registry entry is a prior of 1 for
+its order; where a source says nothing, the usual zone and the near century have a
+prior of their own.
+
+The EM runs inside one row per source and kind (``aggregate`` over the iterations, on
 counts of a fixed number of evidence classes): one pre-aggregated shuffle, no
 group is gathered, and a source with a third of all rows costs no more than
 any other.
@@ -51,6 +55,9 @@ ZONE_MINUTES = {
     "jst": 540, "kst": 540, "sgt": 480, "hkt": 480, "awst": 480, "acst": 570, "acdt": 630, "aest": 600, "aedt": 660, "nzst": 720, "nzdt": 780, "npt": 345,
 }
 
+# Another zone that the same abbreviation names, in minutes.
+OTHER_MINUTES = {"ist": 120, "cst": 480, "bst": 360}
+
 _TIME = r"(\d{1,2}):(\d{2})(?::(\d{2})(?:[.,](\d+))?)?\s*(?:([AaPp])\.?[Mm]\.?(?![A-Za-z]))?"
 _ZONE = r"\s*(Z|z|(?:(?:UTC|GMT)?[+-]\d{1,2}:?\d{2})|[+-]\d{2}|[A-Za-z]{1,5}|[A-Za-z_]+/[A-Za-z_+\-0-9]+(?:/[A-Za-z_]+)?)?"
 _TAIL = r"(?:\[([^\]]*)\])?\s*(?:\([^()]*\)\s*)*$"
@@ -71,8 +78,10 @@ PATTERNS = {
 EM_STEPS = 12
 #: A reading counts as settled from this posterior on.
 SETTLED = 0.9
-#: Evidence weights of the delay classes: up to 5 days, up to 30 days, later, taken in before it was sent; unknown.
-_DELAY_LIKELIHOOD = {"near": 1.0, "weeks": 0.1, "late": 0.005, "before": 0.001, "unknown": 0.3}
+#: Days that each class of delay spans: up to 5 days, up to 30 days, later, taken in before it was sent; unknown says nothing.
+_DELAY_DAYS = {"near": 5.0, "weeks": 25.0, "late": 3650.0, "before": 3650.0, "unknown": 1.0}
+#: Pseudo counts of the first and the second reading: day first or month first, the usual or the other zone, the near or the other century.
+PRIORS = {"order": (0.05, 0.05), "zone": (1.6, 0.4), "century": (19.8, 0.2)}
 
 
 def sender_address(sender: Column) -> Column:
@@ -123,6 +132,7 @@ def _with_fields(x: DataFrame) -> DataFrame:
         "*",
         at(1).alias("_form"),
         F.when(F.length(at(2)) == 2, F.when(y < 69, y + 2000).otherwise(y + 1900)).otherwise(y).alias("_y"),
+        F.when(F.length(at(2)) == 2, F.when(y < 69, y + 1900).otherwise(y + 2000)).alias("_y2"),
         F.when(at(3).rlike(r"^\d+$"), _num(at(3))).otherwise(F.try_element_at(months, F.lower(at(3)))).alias("_p"),
         _num(at(4)).alias("_q"),
         F.when(half == "", h).when((h >= 1) & (h <= 12), h % 12 + F.when(half == "p", 12).otherwise(0)).alias("_h"),
@@ -138,10 +148,10 @@ def _with_fields(x: DataFrame) -> DataFrame:
     return x.withColumn("_in", zone).withColumn("_real", (F.col("_us") < 60_000_000) & (F.col("_h") < 24) & (F.col("_mi") < 60) & F.col("_in").isNotNull())
 
 
-def _instant(month: str, day: str) -> Column:
+def _instant(month: str, day: str, year: str = "_y") -> Column:
     """Microseconds since 1970 UTC, null where date, time or zone is not real."""
     sec = (F.col("_us") / F.lit(1_000_000).cast("decimal(18,0)")).cast("decimal(16,6)")
-    local = F.unix_micros(F.try_make_timestamp(F.col("_y"), F.col(month), F.col(day), F.col("_h"), F.col("_mi"), sec, F.col("_in")))
+    local = F.unix_micros(F.try_make_timestamp(F.col(year), F.col(month), F.col(day), F.col("_h"), F.col("_mi"), sec, F.col("_in")))
     return F.when(F.col("_real"), local - F.coalesce("_offset", F.lit(0)).cast("long") * 60_000_000)
 
 
@@ -157,7 +167,7 @@ def _epoch(text: Column) -> Column:
 
 
 def readings(df: DataFrame, text: str, sender: str, registry: DataFrame, taken_at: str | None = None) -> DataFrame:
-    """Source domain, tz, order, form and the instants of both readings (``_dmy``, ``_mdy``), beside the packed row.
+    """Source domain, order, form, kind of ambiguity and the instants of both readings (``_a``, ``_b``; the second null where there is one), beside the packed row.
 
     The input row travels as one struct, so no name of it can clash.
     """
@@ -165,9 +175,14 @@ def readings(df: DataFrame, text: str, sender: str, registry: DataFrame, taken_a
     reg = registry.groupBy(F.lower("domain").alias("_dom")).agg(F.min("tz").alias("_tz"), F.min(F.upper("date_order")).alias("_order"))
     x = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row"), strip_text(F.col(text)).alias("_text"), sender_domain(F.col(sender)).alias("_dom"), taken.alias("_taken"))
     x = x.join(reg, "_dom", "left").withColumn("_a", _split_fields(F.col("_text"))).withColumn("_epoch", _epoch(F.col("_text")))
-    x = _with_fields(x).withColumn("_slash", F.coalesce(F.col("_form") == "slash", F.lit(False)))
-    x = x.withColumn("_mdy", _instant("_p", "_q")).withColumn("_dmy", F.when(F.col("_slash"), _instant("_q", "_p")).otherwise(F.col("_mdy")))
-    return x.select("_row", "_dom", "_order", "_form", "_epoch", "_slash", "_mdy", "_dmy", "_taken")
+    x = _with_fields(x)
+    slash = F.coalesce(F.col("_form") == "slash", F.lit(False))
+    other = F.try_element_at(_map(OTHER_MINUTES), F.col("_low"))
+    kind = F.when(slash, "order").when(other.isNotNull(), "zone").when(F.col("_y2").isNotNull(), "century")
+    x = x.withColumn("_kind", kind).withColumn("_plain", _instant("_p", "_q"))
+    first = F.when(slash, _instant("_q", "_p")).otherwise(F.coalesce("_plain", "_epoch"))
+    second = F.when(slash, F.col("_plain")).when(F.col("_kind") == "zone", F.col("_plain") + (F.col("_offset") - other).cast("long") * 60_000_000).when(F.col("_kind") == "century", _instant("_p", "_q", "_y2"))
+    return x.select("_row", "_dom", "_order", "_form", "_epoch", "_kind", first.alias("_a"), second.alias("_b"), "_taken")
 
 
 def strip_text(c: Column) -> Column:
@@ -181,46 +196,60 @@ def _delay_class(us: Column, taken: Column) -> Column:
     return F.when(us.isNull(), "none").when(taken.isNull(), "unknown").when(lag < -day // 24, "before").when(lag <= 5 * day, "near").when(lag <= 30 * day, "weeks").otherwise("late")
 
 
-def order_posteriors(read: DataFrame) -> DataFrame:
-    """By EM, the share of day-first dates of each source: _dom, p_dmy, n_values.
+def delay_likelihoods(read: DataFrame) -> dict[str, float]:
+    """The density of each class of delay, over all values with one reading only: counts for each day the class spans; five rows."""
+    known = read.where(F.col("_kind").isNull() & F.col("_a").isNotNull()).groupBy(_delay_class(F.col("_a"), F.col("_taken")).alias("c")).agg(F.count(F.lit(1)).alias("n"))
+    n = {r["c"]: r["n"] for r in known.collect()}
+    total = sum(n.values()) + len(_DELAY_DAYS)
+    return {c: (n.get(c, 0) + 1) / total / days for c, days in _DELAY_DAYS.items()}
+
+
+def _likelihood(c: Column, density: dict[str, float]) -> Column:
+    return F.coalesce(F.try_element_at(_map(density), c), F.lit(0.0))
+
 
-    Evidence classes are pairs of (class under day first, class under month
-    first); their number is fixed, so a source is one row of at most 36 counts.
+def posteriors(read: DataFrame, density: dict[str, float]) -> DataFrame:
+    """By EM, the share of first readings in each source and kind: _src, _kind, p_first, n_values.
+
+    Evidence classes are pairs of (class under the first reading, class under the
+    second); their number is fixed, so a source is one row of at most 36 counts.
     """
     ev = (
-        read.where("_slash").where("_mdy is not null or _dmy is not null")
-        .groupBy(F.coalesce("_dom", F.lit("")).alias("_dom"), "_order", _delay_class(F.col("_dmy"), F.col("_taken")).alias("cd"), _delay_class(F.col("_mdy"), F.col("_taken")).alias("cm"))
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
-    like = lambda c: F.coalesce(F.try_element_at(_map(_DELAY_LIKELIHOOD), c), F.lit(0.0))
-    by = ev.groupBy("_dom").agg(F.min("_order").alias("_order"), F.collect_list(F.struct(F.col("n").cast("double").alias("n"), like(F.col("cd")).alias("ld"), like(F.col("cm")).alias("lm"))).alias("ev"))
+        read.where("_kind is not null and (_a is not null or _b is not null)")
+        .groupBy(F.coalesce("_dom", F.lit("")).alias("_src"), "_kind", _delay_class(F.col("_a"), F.col("_taken")).alias("ca"), _delay_class(F.col("_b"), F.col("_taken")).alias("cb"))
+        .agg(F.count(F.lit(1)).alias("n"), F.min("_order").alias("_order"))
+    )
+    by = ev.groupBy("_src", "_kind").agg(F.min("_order").alias("_order"), F.collect_list(F.struct(F.col("n").cast("double").alias("n"), _likelihood(F.col("ca"), density).alias("la"), _likelihood(F.col("cb"), density).alias("lb"))).alias("ev"))
     total = F.aggregate("ev", F.lit(0.0), lambda a, e: a + e["n"])
-    # one EM step: the expected share of day-first values, with half a value of prior on each side
-    step = lambda p: (F.aggregate("ev", F.lit(0.0), lambda a, e: a + e["n"] * (p * e["ld"]) / (p * e["ld"] + (1.0 - p) * e["lm"] + 1e-12)) + 0.05) / (total + 0.1)
-    em = F.aggregate(F.sequence(F.lit(1), F.lit(EM_STEPS)), F.lit(0.5), lambda p, _: step(p))
-    p = F.when(F.col("_order") == "DMY", F.lit(1.0)).when(F.col("_order") == "MDY", F.lit(0.0)).otherwise(em)
-    return by.select("_dom", p.alias("p_dmy"), total.cast("long").alias("n_values"))
+    prior = lambda i: F.try_element_at(_map({k: v[i] for k, v in PRIORS.items()}), F.col("_kind"))
+    # one EM step: the expected share of first readings, with the pseudo counts of the kind
+    step = lambda p: (F.aggregate("ev", F.lit(0.0), lambda a, e: a + e["n"] * (p * e["la"]) / (p * e["la"] + (1.0 - p) * e["lb"] + 1e-12)) + prior(0)) / (total + prior(0) + prior(1))
+    em = F.aggregate(F.sequence(F.lit(1), F.lit(EM_STEPS)), prior(0) / (prior(0) + prior(1)), lambda p, _: step(p))
+    listed = F.col("_kind") == "order"
+    p = F.when(listed & (F.col("_order") == "DMY"), F.lit(1.0)).when(listed & (F.col("_order") == "MDY"), F.lit(0.0)).otherwise(em)
+    return by.select("_src", "_kind", p.alias("p_first"), total.cast("long").alias("n_values"))
 
 
 def normalize(df: DataFrame, text: str, sender: str, registry: DataFrame, taken_at: str | None = None) -> DataFrame:
     """Adds ``utc_us``, ``reading``, ``posterior`` and ``ambiguous`` to the rows of ``df``; columns of these names are replaced."""
     kept = [f"_row.`{c}`" for c in df.columns if c not in ("utc_us", "reading", "posterior", "ambiguous")]
-    # the readings feed both the EM and the choice: parsed once, kept in the shared scratch folder
+    # the readings feed the densities, the EM and the choice: parsed once, kept in the shared scratch folder
     x = materialize(readings(df, text, sender, registry, taken_at), "readings")
-    post = order_posteriors(x)
-    x = x.withColumn("_src", F.coalesce("_dom", F.lit(""))).join(post.withColumnRenamed("_dom", "_src"), "_src", "left")
-    like = lambda us: F.coalesce(F.try_element_at(_map(_DELAY_LIKELIHOOD), _delay_class(us, F.col("_taken"))), F.lit(0.0))
-    p = F.coalesce("p_dmy", F.lit(0.5))
-    ld, lm = p * like(F.col("_dmy")), (1.0 - p) * like(F.col("_mdy"))
-    pd_ = F.when(ld + lm > 0, ld / (ld + lm)).otherwise(F.lit(None).cast("double"))
-    same = F.col("_dmy").eqNullSafe(F.col("_mdy"))
-    listed = F.col("_order").isin("DMY", "MDY")
-    us_slash = F.when(listed, F.when(F.col("_order") == "DMY", F.col("_dmy")).otherwise(F.col("_mdy"))).when(pd_ >= 0.5, F.col("_dmy")).otherwise(F.col("_mdy"))
-    sure = F.greatest(pd_, 1.0 - pd_)
+    density = delay_likelihoods(x)
+    x = x.withColumn("_src", F.coalesce("_dom", F.lit(""))).join(posteriors(x, density), ["_src", "_kind"], "left")
+    p = F.col("p_first")
+    la, lb = (_likelihood(_delay_class(F.col(c), F.col("_taken")), density) for c in ("_a", "_b"))
+    la, lb = p * la, (1.0 - p) * lb
+    # null where the prior leaves no reading that the calendar allows
+    first = F.when(la + lb > 0, la / (la + lb))
+    x = x.withColumn("_first", F.when(F.col("_kind").isNull(), F.lit(1.0)).otherwise(first))
+    us = F.when(F.col("_first") >= 0.5, F.col("_a")).when(F.col("_first") < 0.5, F.col("_b"))
+    order = F.when(F.col("_first") < 0.5, "mdy").when(F.col("_first") >= 0.5, "dmy").otherwise(F.when(F.col("_order") == "MDY", "mdy").otherwise("dmy"))
+    sure = F.when(F.col("_a").eqNullSafe(F.col("_b")), 1.0).otherwise(F.greatest(F.col("_first"), 1.0 - F.col("_first")))
     out = (
-        x.withColumn("utc_us", F.when(F.col("_slash"), us_slash).otherwise(F.coalesce("_mdy", "_epoch")))
-        .withColumn("reading", F.when(F.col("_slash"), F.when(listed, F.lower("_order")).otherwise(F.when(pd_ >= 0.5, "dmy").otherwise("mdy"))).otherwise(F.coalesce("_form", F.when(F.col("_epoch").isNotNull(), "epoch"))))
-        .withColumn("posterior", F.when(F.col("utc_us").isNull(), F.lit(None).cast("double")).when(F.col("_slash") & ~F.coalesce(listed, F.lit(False)), F.when(same, 1.0).otherwise(sure)).otherwise(1.0))
+        x.withColumn("utc_us", us)
+        .withColumn("reading", F.when(F.col("_kind") == "order", order).otherwise(F.coalesce("_form", F.when(F.col("_epoch").isNotNull(), "epoch"))))
+        .withColumn("posterior", F.when(F.col("utc_us").isNotNull(), sure))
         .withColumn("ambiguous", F.coalesce((F.col("posterior") < SETTLED), F.lit(False)))
     )
     return out.select(*kept, "utc_us", "reading", "posterior", "ambiguous")

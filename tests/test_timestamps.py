@@ -84,3 +84,21 @@ def test_empty_and_senders(spark, registry):
     senders = [("Ann <A@B.example>", "a@b.example"), ("a@b.example", "a@b.example"), ('"X, Y" <x@y.example>', "x@y.example"), ("  ", None), ("no address", None), (None, None)]
     df = spark.createDataFrame(senders, "s string, want string")
     assert all(r.got == r.want for r in df.withColumn("got", sender_address(F.col("s"))).collect())
+
+
+def test_ambiguous_zones_and_centuries(spark):
+    """An abbreviation of two zones is marked where its source says nothing, and settled where the delays of its mails do."""
+    rows = [("a@x", "Tue, 2 Jan 2024 10:00:00 CST", None)]
+    # sent at 10:00 of the other zone, taken in two hours later: by the usual one that is before it was sent
+    rows += [("b@y", f"Tue, 2 Jan 2024 10:{i:02d}:00 CST", "2024-01-02 04:00:00") for i in range(30)]
+    rows += [("d@z", f"Tue, 2 Jan 2024 10:{i:02d}:00 +0000", "2024-01-02 12:00:00") for i in range(59)]
+    rows += [("e@v", "2 Jan 70 10:00:00 GMT", "2024-01-02 12:00:00")]
+    df = spark.createDataFrame(rows, "sender string, text string, taken string").withColumn("taken", F.col("taken").cast("timestamp"))
+    reg = spark.createDataFrame([], "domain string, tz string, date_order string")
+    got = normalize(df, "text", "sender", reg, "taken").collect()
+    a = next(r for r in got if r.sender == "a@x")
+    assert a.ambiguous and a.utc_us == 1704211200 * 10**6
+    b = [r for r in got if r.sender == "b@y"]
+    assert not any(r.ambiguous for r in b) and min(r.utc_us for r in b) == 1704160800 * 10**6
+    e = next(r for r in got if r.sender == "e@v")
+    assert e.utc_us == 122400 * 10**6 and not e.ambiguous
