@@ -119,7 +119,22 @@ QUERIES = {
 # The white space that a text may carry at its ends, and the address of a sender, as SQL.
 _STRIP = r"regexp_replace(text, '^[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+|[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+$', '', 'g')"
 
+# The lines with a word of every section whose mail has a sender: src, doc, id, place among them, line number, words, their number.
+_LINES = r"""senders AS (
+            SELECT id AS email_id, CASE WHEN regexp_extract(lower(sender), '<\s*([^<>\s]+@[^<>\s]+)\s*>', 1) <> '' THEN regexp_extract(lower(sender), '<\s*([^<>\s]+@[^<>\s]+)\s*>', 1)
+                   ELSE nullif(regexp_extract(lower(sender), '([^\s<>"''(),;:]+@[^\s<>"''(),;:]+)', 1), '') END AS src FROM emails),
+        raw AS (SELECT s.id, s.email_id, u.line, u.line_no FROM email_sections s, LATERAL (SELECT unnest(string_split(s.text, chr(10))) AS line, generate_subscripts(string_split(s.text, chr(10)), 1) - 1 AS line_no) u),
+        worded AS (SELECT r.id, r.email_id AS doc, r.line_no, e.src, trim(regexp_replace(lower(r.line), '[^\p{L}]+', ' ', 'g')) AS w FROM raw r JOIN senders e USING (email_id) WHERE e.src IS NOT NULL),
+        lines AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY line_no) AS pos, length(w) - length(replace(w, ' ', '')) + 1 AS n FROM worded WHERE w <> ''),
+        texts AS (SELECT id, doc, src, list(w ORDER BY pos) AS ws, list(n ORDER BY pos) AS ns, list(line_no ORDER BY pos) AS nos FROM lines GROUP BY ALL),
+        starts AS (SELECT *, unnest(range(1, len(ws) + 1)) AS a FROM texts), parts AS (SELECT *, unnest(range(a, len(ws) + 1)) AS b FROM starts), keyed AS (SELECT id, doc, src, nos[a] AS line_no, a, b, md5(array_to_string(ws[a:b], chr(10))) AS h, list_sum(ns[a:b]) AS n_words FROM parts),
+        rep AS (SELECT src, h, count(DISTINCT doc) AS n_documents FROM keyed GROUP BY 1, 2 HAVING count(DISTINCT doc) >= 4), hit AS (SELECT k.*, r.n_documents FROM keyed k JOIN rep r USING (src, h))"""
+
 ORACLE = {
+    "p6_blocks": f"WITH {_LINES} SELECT id AS section_id, line_no::INT AS line_no, max(b - a + 1)::INT AS n_lines, arg_max(n_documents, b) AS n_documents FROM hit GROUP BY 1, 2",
+    "p6_texts": f"""WITH {_LINES}, gone AS (SELECT DISTINCT l.id, l.line_no FROM lines l JOIN hit h ON h.id = l.id AND l.pos BETWEEN h.a AND h.b WHERE h.n_words >= 4),
+        per AS (SELECT id, list(line_no + 1) AS g FROM gone GROUP BY 1), t AS (SELECT s.id, length(s.text) AS before, CASE WHEN g IS NULL THEN s.text ELSE array_to_string(list_filter(string_split(s.text, chr(10)), lambda x, i: NOT list_contains(g, i)), chr(10)) END AS text FROM email_sections s LEFT JOIN per USING (id))
+        SELECT id AS section_id, before AS n_chars_before, length(text) AS n_chars_after, text FROM t""",
     "p4_found": f"""
         SELECT 'email_sections' AS src, id AS item_id FROM email_sections WHERE length({_STRIP}) > {SECTION_LIMIT}
         UNION ALL
