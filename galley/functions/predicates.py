@@ -193,14 +193,34 @@ def story_paths(links: Column, hosts: Iterable[str] | None = None, excluded: Ite
     return F.transform(parts, path)
 
 
-def unwrapped_link(url: Column, hosts: Iterable[str], markers: Iterable[str] = ("/http",), keys: Iterable[str] = ("url", "u", "redirect")) -> Column:
-    """The target inside a click tracker's link: percent-decoded from its path or a query key; else the link itself."""
+#: Path markers before the target, and query keys that hold one, where a tracker's rule names none.
+PATH_MARKERS, QUERY_KEYS = ("/cl0/", "/cl1/"), ("url", "redirect", "u")
+
+
+def unwrapped_link(url: Column, hosts: Iterable[str] | dict[str, Iterable[str]], keys: Iterable[str] = QUERY_KEYS, by_query: Iterable[str] = ()) -> Column:
+    """The target inside a click tracker's link, percent-decoded; else the link itself.
+
+    ``hosts``: the trackers' hosts, each with its path markers (without a mapping
+    the usual ones): the target is what stands in the path behind the first marker
+    that has one.  Hosts that hold one of ``by_query`` carry it in one of ``keys``.
+    """
+    rules_of = {h: tuple(m) for h, m in hosts.items()} if isinstance(hosts, dict) else dict.fromkeys(hosts, PATH_MARKERS)
     u = F.coalesce(strip(url), F.lit(""))
-    decode = lambda c: F.try_url_decode(F.replace(c, F.lit("+"), F.lit("%2B")))
-    from_path = F.regexp_extract(u, r"^[a-zA-Z]+://[^/]+/.*?(https?(?:://|%3[aA]%2[fF]%2[fF])[^?#]*)", 1)
-    of_query = [F.regexp_extract(u, rf"[?&]{k}=([^&#]+)", 1) for k in keys]
-    found = F.coalesce(*[F.when(decode(c).rlike("^https?://"), decode(c)) for c in (from_path, *of_query)])
-    return F.when(F.lower(url_part(u, "HOST")).isin(*hosts), F.coalesce(found, u)).otherwise(u)
+    host = F.lower(url_part(u, "HOST"))
+    path = F.regexp_extract(u, r"^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*([^?#]*)", 1)
+    decoded = lambda c: strip(F.coalesce(F.try_url_decode(F.replace(c, F.lit("+"), F.lit("%2B"))), F.lit("")))
+    target = lambda c: bound(decoded(c), lambda t: F.when(t.rlike("^https?://"), t))
+    found = []
+    for h, markers in rules_of.items():
+        for m in markers:
+            at = F.locate(m, F.lower(path))
+            found.append(F.when((host == h) & (at > 0), target(F.substr(path, at + len(m)))))
+    for part in by_query:
+        for k in keys:
+            # of a query's value a plus is a blank; the value read is decoded like a path once more
+            value = F.try_url_decode(F.regexp_extract(u, rf"[?&]{k}=([^&#]+)", 1))
+            found.append(F.when(F.contains(host, F.lit(part)), target(value)))
+    return F.coalesce(*found, u) if found else u
 
 
 def confidence_band(confidence: Column) -> Column:

@@ -117,15 +117,16 @@ def capped(chunks: DataFrame, most: int = rules.CHUNKS_PER_EMAIL) -> DataFrame:
     if most < 1:
         raise ValueError("most must be at least 1")
 
-    @F.udf("array<struct<first:int,last:int>>")
-    def spans(sizes):
-        return merge_smallest(sizes, most)
+    @F.pandas_udf("array<array<int>>")
+    def spans(sizes: pd.Series) -> pd.Series:
+        return sizes.map(lambda x: [list(p) for p in merge_smallest(list(x), most)])
 
     block_chars = F.length("text") - (F.size("section_keys") - 1) * len(SEPARATOR)
     per = chunks.groupBy("email_id").agg(F.array_sort(F.collect_list(F.struct("chunk_index", "section_keys", "headings", "text", block_chars.alias("n")))).alias("c"))
     many = per.where(F.size("c") > most).withColumn("spans", spans(F.transform("c", lambda x: x["n"])))
     merged = many.select("email_id", "c", F.posexplode("spans").alias("chunk_index", "p"))
-    part = F.slice(F.col("c"), F.col("p.first") + 1, F.col("p.last") - F.col("p.first"))
+    first, last = F.get("p", F.lit(0)), F.get("p", F.lit(1))
+    part = F.slice(F.col("c"), first + 1, last - first)
     merged = merged.select("email_id", "chunk_index", F.flatten(F.transform(part, lambda x: x["section_keys"])).alias("section_keys"), F.flatten(F.transform(part, lambda x: x["headings"])).alias("headings"), F.array_join(F.transform(part, lambda x: x["text"]), SEPARATOR).alias("text"))
     few = per.where(F.size("c") <= most).select("email_id", F.explode("c").alias("x")).select("email_id", "x.chunk_index", "x.section_keys", "x.headings", "x.text")
     return few.unionByName(merged)
@@ -206,22 +207,27 @@ def for_routing(sections: DataFrame, most: int = rules.SECTIONS_PER_EMAIL, least
 
     An email with ``pathological`` sections or more becomes one envelope of all
     of them.  The merging of a text depends on the texts merged before, so it
-    runs in Python, over arrays of one email's sections.
+    runs in Python, over Arrow batches of emails.
     """
 
-    @F.udf("array<struct<first:int,last:int,text:string>>")
-    def merged(texts):
+    def one(texts: list[str]) -> tuple[list[list[int]], list[str]]:
         if len(texts) >= pathological:
             whole = "\n\n".join(t for t in texts if t).strip()
-            return [(0, len(texts), whole if len(whole) <= rules.SECTION_CHARS else whole[: rules.SECTION_CHARS - 1] + "…")]
+            return [[0, len(texts)]], [whole if len(whole) <= rules.SECTION_CHARS else whole[: rules.SECTION_CHARS - 1] + "…"]
         spans, out = routing_spans(texts, most, least)
-        return [(a, b, t) for (a, b), t in zip(spans, out, strict=True)]
+        return [list(p) for p in spans], out
+
+    @F.pandas_udf("spans array<array<int>>, texts array<string>")
+    def merged(texts: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([one(list(t)) for t in texts], columns=["spans", "texts"])
 
     empty = F.array().cast("array<string>")
     item = F.struct(F.col("order_index").alias("o"), F.col("id").alias("i"), F.col("heading").alias("heading"), F.coalesce("links", empty).alias("links"), F.coalesce("image_urls", empty).alias("images"), truncated(F.col("text")).alias("text"))
     per = sections.groupBy("email_id").agg(F.array_sort(F.collect_list(item)).alias("s"))
-    x = per.select("email_id", "s", F.posexplode(merged(F.transform("s", lambda x: x["text"]))).alias("order_index", "m"))
-    part = F.slice(F.col("s"), F.col("m.first") + 1, F.col("m.last") - F.col("m.first"))
+    x = per.select("email_id", "s", merged(F.transform("s", lambda x: x["text"])).alias("m"))
+    x = x.select("email_id", "s", F.posexplode(F.arrays_zip(F.col("m.spans").alias("span"), F.col("m.texts").alias("text"))).alias("order_index", "m"))
+    first, last = F.get("m.span", F.lit(0)), F.get("m.span", F.lit(1))
+    part = F.slice(F.col("s"), first + 1, last - first)
     heads = F.filter(F.transform(part, lambda x: x["heading"]), lambda h: h.isNotNull() & (h != ""))
     envelope = F.size("s") >= pathological
     return x.select(

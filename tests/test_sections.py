@@ -147,11 +147,13 @@ def test_proposals(spark):
 
 def test_url_columns(spark):
     df = spark.createDataFrame([("https://a.example/p/x/?utm_source=1&b=2#f",), ("https://a.example/p/x?utm_source=1&ref=2",), ("https://click.example/c/https%3A%2F%2Fb.example%2Fp%2Fa+b",), ("not a url",), (None,)], "u string")
-    got = df.select(P.without_tracking(F.col("u")).alias("w"), P.has_tracking_query(F.col("u")).alias("t"), P.unwrapped_link(F.col("u"), ["click.example"]).alias("x"), P.story_path(F.col("u"), ["a.example"], (), (r"^/p/[^/]+$",)).alias("s")).collect()
+    got = df.select(P.without_tracking(F.col("u")).alias("w"), P.has_tracking_query(F.col("u")).alias("t"), P.unwrapped_link(F.col("u"), {"click.example": ("/c/",)}).alias("x"), P.story_path(F.col("u"), ["a.example"], (), (r"^/p/[^/]+$",)).alias("s")).collect()
     assert got[0].w == "https://a.example/p/x?b=2" and not got[0].t and got[0].s == "a.example/p/x"
     assert got[1].w == "https://a.example/p/x" and got[1].t
     assert got[2].x == "https://b.example/p/a+b"
     assert got[3].s is None and got[4].s is None and got[4].x == ""
+    more = spark.createDataFrame([("https://T.example/x/CL0/https:%2F%2Fb.example%2Fa/1",), ("https://t.example/cl1/nothing",), ("https://other.example/cl0/https:%2F%2Fb.example",), ("https://link.beehiiv.com/v?x=1&url=https%3A%2F%2Fc.example%2Fp%3Fq",), ("https://t.example/cl1/a/cl0/https://d.example",)], "u string")
+    assert [r[0] for r in more.select(P.unwrapped_link(F.col("u"), ["t.example"], by_query=["beehiiv.com"])).collect()] == ["https://b.example/a/1", "https://t.example/cl1/nothing", "https://other.example/cl0/https:%2F%2Fb.example", "https://c.example/p?q", "https://d.example"]
 
 
 def test_gate_and_repair(spark):
