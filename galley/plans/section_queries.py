@@ -325,3 +325,21 @@ ORACLE["q_n08_pack"] = f"""WITH RECURSIVE b AS (SELECT email_id, row_number() OV
     r AS (SELECT email_id, p, 0 AS ci, n AS len, n > 4000 AS alone FROM b WHERE p = 1
         UNION ALL SELECT b.email_id, b.p, CASE WHEN NOT alone AND b.n <= 4000 AND len + 7 + b.n <= 4000 THEN ci ELSE ci + 1 END, CASE WHEN NOT alone AND b.n <= 4000 AND len + 7 + b.n <= 4000 THEN len + 7 + b.n ELSE b.n END, b.n > 4000 FROM r JOIN b ON b.email_id = r.email_id AND b.p = r.p + 1)
     SELECT email_id, ci AS chunk_index, string_agg(section_key, ',' ORDER BY p) AS section_keys, max(len)::INT AS n_chars FROM r JOIN b USING (email_id, p) GROUP BY 1, 2"""
+ORACLE["q_n09_capped"] = f"""WITH RECURSIVE pk AS ({ORACLE["q_n08_pack"]}),
+    m AS (SELECT email_id, list(section_keys ORDER BY chunk_index) AS ks, list((n_chars - (len(string_split(section_keys, ',')) - 1) * 7)::BIGINT ORDER BY chunk_index) AS sz FROM pk GROUP BY 1
+        UNION ALL SELECT email_id, list_concat(list_concat(ks[:p - 1], [ks[p] || ',' || ks[p + 1]]), ks[p + 2:]), list_concat(list_concat(sz[:p - 1], [sz[p] + sz[p + 1]]), sz[p + 2:])
+            FROM (SELECT *, list_position(pair, list_min(pair)) AS p FROM (SELECT *, list_transform(range(1, len(sz)), lambda i: sz[i] + sz[i + 1]) AS pair FROM m WHERE len(sz) > 3))),
+    u AS (SELECT email_id, unnest(ks) AS section_keys, unnest(sz) AS n, generate_subscripts(ks, 1) - 1 AS chunk_index FROM m WHERE len(sz) <= 3)
+    SELECT email_id, chunk_index::INT AS chunk_index, section_keys, (n + (len(string_split(section_keys, ',')) - 1) * 7)::INT AS n_chars FROM u"""
+_CUT = lambda x: f"CASE WHEN length({x}) > {R.SECTION_CHARS} THEN left({x}, {R.SECTION_CHARS - 1}) || '…' ELSE {x} END"
+ORACLE["q_n04_routing"] = f"""WITH RECURSIVE b AS (SELECT email_id, list({S.truncated('text', R.SECTION_CHARS)} ORDER BY order_index, id) AS ts, list(heading ORDER BY order_index, id) AS hs, list(coalesce(links, []) ORDER BY order_index, id) AS lk, list(coalesce(image_urls, []) ORDER BY order_index, id) AS im FROM email_sections GROUP BY 1),
+    e AS (SELECT *, {S.strip("array_to_string(list_filter(ts, lambda t: t <> ''), chr(10) || chr(10))")} AS whole, len(ts) >= {R.PATHOLOGICAL_SECTIONS} AS env FROM b),
+    r AS (SELECT email_id, env, CASE WHEN env THEN [1::BIGINT] ELSE range(1, len(ts) + 1) END AS f, CASE WHEN env THEN [len(ts)] ELSE range(1, len(ts) + 1) END AS l, CASE WHEN env THEN [{_CUT('whole')}] ELSE ts END AS t FROM e
+        UNION ALL SELECT email_id, env, list_concat(f[:p], f[p + 2:]), list_concat(l[:p - 1], l[p + 1:]), list_concat(list_concat(t[:p - 1], [{_CUT('j')}]), t[p + 2:])
+            FROM (SELECT *, {S.strip("concat_ws(chr(10) || chr(10), nullif(t[p], ''), nullif(t[p + 1], ''))")} AS j
+                FROM (SELECT *, CASE WHEN len(t) > {R.SECTIONS_PER_EMAIL} THEN list_position(pair, list_min(pair)) WHEN i > 1 AND (i = len(t) OR length(t[i - 1]) <= length(t[i + 1])) THEN i - 1 ELSE i END AS p
+                    FROM (SELECT *, list_transform(range(1, len(t)), lambda k: length(t[k]) + length(t[k + 1])) AS pair, list_position(list_transform(t, lambda x: length(x) < {R.SHORT_SECTION_CHARS}), true) AS i FROM r)
+                    WHERE len(t) > {R.SECTIONS_PER_EMAIL} OR (len(t) > 1 AND i > 0)))),
+    d AS (SELECT *, list_position(list_transform(t, lambda x: length(x) < {R.SHORT_SECTION_CHARS}), true) AS i FROM r), z AS (SELECT * FROM d WHERE len(t) <= {R.SECTIONS_PER_EMAIL} AND (len(t) = 1 OR coalesce(i, 0) = 0)),
+    u AS (SELECT email_id, env, unnest(f) AS f, unnest(l) AS l, unnest(t) AS t, generate_subscripts(t, 1) - 1 AS o FROM z)
+    SELECT u.email_id, 's' || o AS section_key, o::INT AS order_index, CASE WHEN NOT u.env THEN list_filter(hs[f:l], lambda h: h IS NOT NULL AND h <> '')[1] END AS heading, length(t)::INT AS n_chars, len(list_distinct(flatten(lk[f:l])))::INT AS n_links, len(list_distinct(flatten(im[f:l])))::INT AS n_images FROM u JOIN e USING (email_id)"""
