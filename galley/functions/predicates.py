@@ -152,8 +152,11 @@ def is_tracking_host(url: Column) -> Column:
 
 
 def is_unsubscribe(url: Column, anchor: Column) -> Column:
+    """A path that names leaving; of mail links one by its anchor text alone; else a query token or the anchor text."""
     u = F.lower(url)
-    return any_of(url_part(u, "PATH"), rules.UNSUBSCRIBE_PATHS) | any_of(url_part(u, "QUERY"), rules.UNSUBSCRIBE_QUERIES) | F.lower(strip(anchor)).isin(*rules.UNSUBSCRIBE_ANCHORS)
+    named = F.lower(strip(anchor)).isin(*rules.UNSUBSCRIBE_ANCHORS)
+    other = F.when(F.contains(u, F.lit("mailto:")), named).otherwise(any_of(url_part(u, "QUERY"), rules.UNSUBSCRIBE_QUERIES) | named)
+    return any_of(url_part(u, "PATH"), rules.UNSUBSCRIBE_PATHS) | other
 
 
 def is_noise_link(url: Column, anchor: Column | None = None) -> Column:
@@ -165,6 +168,11 @@ def is_image_url(url: Column) -> Column:
     return reduce(lambda a, b: a | b, [path.endswith(s) for s in rules.IMAGE_SUFFIXES])
 
 
+def article_links(links: Column) -> Column:
+    """The links, in order, that are no image."""
+    return F.filter(F.coalesce(links, F.array().cast("array<string>")), lambda u: ~is_image_url(u))
+
+
 def story_path(url: Column, hosts: Iterable[str] | None = None, excluded: Iterable[str] = (), patterns: Iterable[str] = (r"^/[^/]+/[^/]+$",)) -> Column:
     """host + path of a story link: allowed host, no excluded prefix, a path of one of the patterns; else null."""
     u = without_tracking(url)
@@ -227,6 +235,13 @@ def confidence_band(confidence: Column) -> Column:
     return F.when(confidence < rules.CONFIDENCE_MIN, "fail").when(confidence < rules.CONFIDENCE_PROCESS, "warn").otherwise("process")
 
 
+def warned(warnings: Column, confidence: Column) -> Column:
+    """The warnings, with one more where the confidence is in the middle band; each once."""
+    w = F.coalesce(warnings, F.array().cast("array<string>"))
+    low = F.lit("classification_low_confidence")
+    return F.when((confidence_band(confidence) == "warn") & ~F.array_contains(w, low), F.concat(w, F.array(low))).otherwise(w)
+
+
 def html_problems(html: Column, least: int = 120) -> Column:
     """ARRAY of the problems of a rendered page, in the order they are checked."""
     low = F.lower(html)

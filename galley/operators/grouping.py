@@ -185,11 +185,19 @@ def story_links(sections: DataFrame, **paths) -> DataFrame:
     return x.where("path is not null")
 
 
-def dominant(links: DataFrame) -> DataFrame:
-    """email_id, id, path: the path that at least half of a section's story links have; the first one on ties."""
+def dominant(links: DataFrame, canonical: DataFrame | None = None) -> DataFrame:
+    """email_id, id, path: the path that at least half of a section's story links have, the first one on ties; else the mail's own story, if the section links to it.
+
+    ``canonical``: email_id, canonical.
+    """
     n = links.groupBy("email_id", "id", "path").agg(F.count(F.lit(1)).alias("n"), F.min("place").alias("place"))
-    per = n.groupBy("email_id", "id").agg(F.sum("n").alias("total"), F.max(F.struct("n", (-F.col("place")).alias("first"), "path")).alias("best"))
-    return per.where(F.col("best.n") * 2 >= F.col("total")).select("email_id", "id", F.col("best.path").alias("path"))
+    if canonical is None:
+        n = n.withColumn("_own", F.lit(False))
+    else:
+        n = n.join(canonical, "email_id", "left").withColumn("_own", F.coalesce(F.col("path") == F.col("canonical"), F.lit(False)))
+    per = n.groupBy("email_id", "id").agg(F.sum("n").alias("total"), F.max(F.struct("n", (-F.col("place")).alias("first"), "path")).alias("best"), F.max(F.when(F.col("_own"), F.col("path"))).alias("own"))
+    path = F.when(F.col("best.n") * 2 >= F.col("total"), F.col("best.path")).otherwise(F.col("own"))
+    return per.select("email_id", "id", path.alias("path")).where("path is not null")
 
 
 def dominant_paths(sections: DataFrame, **paths) -> DataFrame:

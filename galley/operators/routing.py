@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from galley.functions import rules
-from galley.functions.predicates import hits, unwrapped
+from galley.functions.predicates import hits, https, unwrapped, url_part
 from galley.operators.scorer import Check, Scorer, scored
 from galley.operators.state import latest
 from galley.operators.timestamps import sender_address
@@ -129,3 +129,30 @@ def unit_hash_cache(units: DataFrame, log: DataFrame, kind: str) -> DataFrame:
     top = top.select("email_id", "content_unit_key", F.get_json_object(unwrapped(F.col("payload")), "$.content_hash").alias("_h"))
     x = units.join(top, ["email_id", "content_unit_key"], "left")
     return x.select("email_id", "content_unit_key", F.coalesce(F.col("_h") == F.sha2("unit_text", 256), F.lit(False)).alias("cached"))
+
+
+def with_original(found: DataFrame, mails: DataFrame, opted: DataFrame) -> DataFrame:
+    """email_id and entry: the entries found by sender, and for the other mails that of the host of their original address.
+
+    ``mails``: email_id, original_url; ``opted``: entry, rank, host of the entries that may be found so; the smallest rank on ties.
+    """
+    left = mails.join(found.select("email_id"), "email_id", "left_anti").select("email_id", F.lower(url_part(F.col("original_url"), "HOST")).alias("host"))
+    by = left.join(opted.select("entry", "rank", F.lower("host").alias("host")), "host").groupBy("email_id").agg(F.min(F.struct("rank", "entry")).alias("m"))
+    return found.select("email_id", "entry").unionByName(by.select("email_id", F.col("m.entry").alias("entry")))
+
+
+def primary_url_counts(sections: DataFrame, stories: DataFrame, profiled: DataFrame) -> DataFrame:
+    """email_id and n_urls: of mails with a profile their distinct stories (email_id, path), of others their distinct https links."""
+    mails = sections.select("email_id").distinct().join(profiled.select("email_id").distinct().withColumn("_known", F.lit(True)), "email_id", "left")
+    urls = sections.select("email_id", F.explode(https(F.col("links"))).alias("u")).groupBy("email_id").agg(F.count_distinct("u").alias("n_links"))
+    told = stories.groupBy("email_id").agg(F.count_distinct("path").alias("n_stories"))
+    x = mails.join(urls, "email_id", "left").join(told, "email_id", "left")
+    return x.select("email_id", F.coalesce(F.when(F.col("_known"), F.col("n_stories")).otherwise(F.col("n_links")), F.lit(0)).cast("long").alias("n_urls"))
+
+
+def trusted_priors(senders: DataFrame) -> DataFrame:
+    """email_id and category of the senders that are trusted (tier, whatever its case, or is_trust) and name a known category (category, else default_category)."""
+    tier = F.lower(F.trim(F.coalesce("tier", F.lit("")))) == "trust"
+    known = lambda c: F.when(F.trim(F.col(c)).isin("TECHNOLOGY", "RADAR", "LEADERSHIP", "COURSES"), F.trim(F.col(c)))
+    x = senders.where(tier | F.coalesce("is_trust", F.lit(False)))
+    return x.select("email_id", F.coalesce(known("category"), known("default_category")).alias("category")).where("category is not null")

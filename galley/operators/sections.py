@@ -239,3 +239,23 @@ def for_routing(sections: DataFrame, most: int = rules.SECTIONS_PER_EMAIL, least
         F.array_distinct(F.flatten(F.transform(part, lambda x: x["links"]))).alias("links"),
         F.array_distinct(F.flatten(F.transform(part, lambda x: x["images"]))).alias("image_urls"),
     )
+
+
+def with_envelopes(sections: DataFrame, mails: DataFrame) -> DataFrame:
+    """The sections, and for each mail without any one envelope of its whole text, links and images.
+
+    ``sections``: email_id, section_key, order_index, heading, text, links,
+    image_urls; ``mails``: email_id, text, links, image_urls.
+    """
+    none = F.array().cast("array<string>")
+    lost = mails.join(sections.select("email_id").distinct(), "email_id", "left_anti")
+    one = lost.select("email_id", F.lit("s0").alias("section_key"), F.lit(0).alias("order_index"), F.lit(None).cast("string").alias("heading"), truncated(F.col("text")).alias("text"), F.coalesce("links", none).alias("links"), F.coalesce("image_urls", none).alias("image_urls"))
+    return sections.select(one.columns).unionByName(one)
+
+
+def or_empty_chunk(chunks: DataFrame, mails: DataFrame) -> DataFrame:
+    """The chunks, and one empty chunk for each mail (email_id) without any."""
+    none = F.array().cast("array<string>")
+    lost = mails.select("email_id").distinct().join(chunks.select("email_id").distinct(), "email_id", "left_anti")
+    empty = lost.select("email_id", F.lit(0).alias("chunk_index"), none.alias("section_keys"), none.alias("headings"), F.lit("").alias("text"))
+    return chunks.select(empty.columns).unionByName(empty)

@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from galley.functions import predicates as P
+from galley.functions import rules
 from galley.operators import grouping as G
 from galley.operators import processors as W
 from galley.operators import routing as T
+from galley.operators import sections as N
 from galley.operators import state as R
 from galley.operators.compose import labels
 from galley.plans import sql as SQL
@@ -126,7 +128,46 @@ def c06_boundaries(spark, root):
     return x.select("email_id", F.col("n").alias("n_sections"), "confidence", status.alias("status"))
 
 
-QUERIES = {f"q_{f.__name__}": f for f in (g11_units, g12_article_units, d18_excluded, g18_plans, g08_groups, g20_errors, r16_digests, r26_decisions, c06_boundaries)}
+def d15_primary(spark, root):
+    """How many primary addresses each mail has: stories where it has a profile, https links elsewhere."""
+    s = _sections(spark, root)
+    return T.primary_url_counts(s, G.story_links(s, **STORY).select("email_id", "path"), _profiled(spark, root))
+
+
+def d16_original(spark, root):
+    """The registry's entry of every mail, for senders it does not know by the host of the mail's first link."""
+    s = _sections(spark, root)
+    mails = s.groupBy("email_id").agg(F.min_by(F.get("links", F.lit(0)), F.struct("order_index", "id")).alias("original_url"))
+    hosts = G.story_links(s, **STORY).select(F.substring_index("path", "/", 1).alias("host")).distinct().select(F.lit("STORY").alias("entry"), F.lit(5).alias("rank"), "host")
+    return T.with_original(T.registry_entry(table(spark, root, "emails"), _registry(spark, root)), mails, hosts)
+
+
+def d13_with_own(spark, root):
+    """The dominant path of every section, the mail's own story where none is."""
+    links = G.story_links(_sections(spark, root), **STORY)
+    own = links.groupBy("email_id").agg(F.max("path").alias("canonical"))
+    return G.dominant(links, own).select(F.col("id").alias("section_id"), "path")
+
+
+def n05_envelopes(spark, root):
+    """Sections of all mails, an envelope of the preview where a mail has none."""
+    e = table(spark, root, "emails").select(F.col("id").alias("email_id"), F.col("body_preview").alias("text"), F.lit(None).cast("array<string>").alias("links"), F.lit(None).cast("array<string>").alias("image_urls"))
+    x = N.with_envelopes(_sections(spark, root), e)
+    return x.select("email_id", "section_key", "order_index", F.length("text").cast("long").alias("n_chars"), F.size(F.coalesce("links", F.array().cast("array<string>"))).cast("long").alias("n_links"))
+
+
+def n10_chunks(spark, root):
+    """Chunks of all mails, an empty one where there is nothing to pack."""
+    e = table(spark, root, "emails").select(F.col("id").alias("email_id"))
+    x = N.or_empty_chunk(N.packed(_sections(spark, root), 4000), e)
+    return x.select("email_id", "chunk_index", F.array_join("section_keys", ",").alias("section_keys"), F.length("text").alias("n_chars"))
+
+
+def p21_articles(spark, root):
+    return _sections(spark, root).select(F.col("id").alias("section_id"), F.array_join(P.article_links(F.col("links")), "|").alias("links"))
+
+
+QUERIES = {f"q_{f.__name__}": f for f in (d15_primary, d16_original, d13_with_own, n05_envelopes, n10_chunks, p21_articles, g11_units, g12_article_units, d18_excluded, g18_plans, g08_groups, g20_errors, r16_digests, r26_decisions, c06_boundaries)}
 
 _KEY = SQL.strip("section_key")
 _PROFILED = f"{_ENTRY}, prof AS (SELECT email_id FROM ent WHERE entry IN ('RADAR', 'EDITOR'))"
@@ -135,7 +176,18 @@ _OUT = f"({_PROMO} OR {_TEASER})"
 _PAIRED = f"""pos AS (SELECT id, email_id, {_KEY} AS section_key, {_PROMO} AS hard, row_number() OVER (PARTITION BY email_id ORDER BY order_index, id) - 1 AS position FROM email_sections),
     pairs AS (SELECT *, (row_number() OVER (PARTITION BY email_id ORDER BY position) - 1) // 2 AS group_no FROM pos WHERE NOT hard)"""
 
+_IMAGES = "(" + " OR ".join(f"ends_with(lower(regexp_replace(regexp_replace(x, '[?#].*$', ''), '^[a-zA-Z][a-zA-Z0-9+.-]*://[^/]*', '')), '{s}')" for s in rules.IMAGE_SUFFIXES) + ")"
 ORACLE = {
+    "q_d15_primary": f"""WITH {_PROFILED}, {_DOM}, u AS (SELECT email_id, count(DISTINCT l) AS n FROM (SELECT email_id, unnest({SQL.HTTPS}) AS l FROM email_sections) GROUP BY 1), st AS (SELECT email_id, count(DISTINCT path) AS n FROM story WHERE path IS NOT NULL GROUP BY 1)
+        SELECT m.email_id, CASE WHEN m.email_id IN (SELECT email_id FROM prof) THEN coalesce(st.n, 0) ELSE coalesce(u.n, 0) END AS n_urls FROM (SELECT DISTINCT email_id FROM email_sections) m LEFT JOIN u USING (email_id) LEFT JOIN st USING (email_id)""",
+    "q_d16_original": f"""WITH {_ENTRY}, {_DOM}, h AS (SELECT DISTINCT split_part(path, '/', 1) AS host FROM story WHERE path IS NOT NULL), m AS (SELECT email_id, lower(regexp_extract(first(links[1] ORDER BY order_index, id), '^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#:]*)', 1)) AS host FROM email_sections GROUP BY 1)
+        SELECT email_id, entry FROM ent UNION ALL SELECT email_id, 'STORY' FROM m JOIN h USING (host) WHERE email_id NOT IN (SELECT email_id FROM ent)""",
+    "q_d13_with_own": f"""WITH {_DOM}, own AS (SELECT email_id, max(path) AS canon FROM story WHERE path IS NOT NULL GROUP BY 1), alone AS (SELECT DISTINCT s.section_id, canon FROM story s JOIN own USING (email_id) WHERE s.path = canon AND s.section_id NOT IN (SELECT section_id FROM dom))
+        SELECT section_id, path FROM dom UNION ALL SELECT section_id, canon FROM alone""",
+    "q_n05_envelopes": f"""SELECT email_id, section_key, order_index, length(text) AS n_chars, len(coalesce(links, [])) AS n_links FROM email_sections
+        UNION ALL SELECT id, 's0', 0, length({SQL.truncated('body_preview', 8000)}), 0 FROM emails WHERE id NOT IN (SELECT email_id FROM email_sections WHERE email_id IS NOT NULL)""",
+    "q_n10_chunks": f"WITH pk AS ({SECTION_ORACLE['q_n08_pack']}) SELECT email_id, chunk_index, section_keys, n_chars FROM pk UNION ALL SELECT id, 0, '', 0 FROM emails WHERE id NOT IN (SELECT email_id FROM pk)",
+    "q_p21_articles": f"SELECT id AS section_id, array_to_string(list_filter(coalesce(links, []), lambda x: NOT {_IMAGES}), '|') AS links FROM email_sections",
     "q_g12_article_units": f"WITH {_BODY}, {_ARTICLE} SELECT email_id, 'u0' AS content_unit_key, md5(t) AS text_md5, k AS section_keys FROM art",
     "q_d18_excluded": f"SELECT email_id, string_agg({_KEY}, ',' ORDER BY order_index, id) AS section_keys FROM email_sections WHERE {_OUT} GROUP BY 1",
     "q_g11_units": f"""WITH {_PROFILED}, {_BODY}, {_ARTICLE}, g AS ({SECTION_ORACLE['q_g05_units']}), m AS ({SECTION_ORACLE['q_g13_story_units']}), sh AS ({SECTION_ORACLE['q_d19_shapes']})

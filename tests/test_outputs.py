@@ -1,13 +1,19 @@
 """Typed outputs, processors, proposals and plans on small fixtures."""
 
+import base64
+import email
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
-from galley.functions.predicates import unwrapped
+from galley.functions.predicates import is_unsubscribe, unwrapped, warned
+from galley.operators import delivery as D
 from galley.operators import grouping as G
 from galley.operators import outputs as T
 from galley.operators import processors as P
+from galley.operators import routing as R2
+from galley.operators import sections as N
 from galley.operators import state as R
 from galley.sources import mail as S
 
@@ -129,3 +135,41 @@ def test_lookups_and_pages(spark):
     want = sorted([f"{i:05d}" for i in range(25)] + ["zz"])
     assert sorted((r.page, r.message_id) for r in x.collect()) == [(i // 10, v) for i, v in enumerate(want)]
     assert S.pages(spark.createDataFrame([], "message_id string, label_ids array<string>"), 10).count() == 0
+
+
+def test_mail_and_sending(spark):
+    raw = D.encoded_mail("a@b", "c@d", "Ü", "<p>é</p>", "é")
+    mail = email.message_from_bytes(base64.urlsafe_b64decode(raw))
+    assert mail["To"] == "c@d" and [p.get_content_type() for p in mail.walk()] == ["multipart/alternative", "text/plain", "text/html"]
+    assert [p.get_payload(decode=True).decode() for p in mail.get_payload()] == ["é", "<p>é</p>"]
+    for bad in (("", "t", "s", "h"), ("f", " ", "s", "h"), ("f", "t", None, "h"), ("f", "t", "s", "")):
+        with pytest.raises(ValueError):
+            D.encoded_mail(*bad)
+    df = spark.createDataFrame([(1, "a", "b", "s", "h"), (2, "a", "b", "s", " "), (3, "a", "b", None, "h")], "k long, f string, t string, s string, h string")
+    x = df.select("k", D.raw_mail("f", "t", "s", "h").alias("raw"))
+
+    def send(raw):
+        return {"id": 7} if raw else {}
+
+    assert [tuple(r) for r in D.sent(x, "k", send).collect()] == [(1, "7", None)]
+    assert [r.error for r in D.sent(x, "k", lambda raw: {}).collect()] == ["the response has no id"]
+
+
+def test_priors_warnings_and_leaving(spark):
+    rows = [(1, " Trust", None, "RADAR", None), (2, "other", None, "RADAR", None), (3, None, True, "nonsense", "COURSES"), (4, "trust", None, None, " "), (5, None, None, None, None)]
+    s = spark.createDataFrame(rows, "email_id long, tier string, is_trust boolean, category string, default_category string")
+    assert sorted(map(tuple, R2.trusted_priors(s).collect())) == [(1, "RADAR"), (3, "COURSES")]
+    w = spark.createDataFrame([(0.5, None), (0.6, None), (0.6, ["classification_low_confidence"]), (0.9, ["x"])], "c double, w array<string>")
+    low = "classification_low_confidence"
+    assert [r[0] for r in w.select(warned(F.col("w"), F.col("c"))).collect()] == [[], [low], [low], ["x"]]
+    u = spark.createDataFrame([("mailto:x@y?subject=unsubscribe", "Unsubscribe"), ("mailto:x@y", "write us"), ("https://a.example/unsubscribe/1", "")], "u string, a string")
+    assert [r[0] for r in u.select(is_unsubscribe(F.col("u"), F.col("a"))).collect()] == [True, False, True]
+
+
+def test_envelopes_and_empty_chunks(spark):
+    s = spark.createDataFrame([(1, "s0", 0, "h", "t", ["l"], ["i"])], "email_id long, section_key string, order_index int, heading string, text string, links array<string>, image_urls array<string>")
+    m = spark.createDataFrame([(1, "x", None, None), (2, " whole ", ["https://a"], None), (3, None, None, None)], "email_id long, text string, links array<string>, image_urls array<string>")
+    got = {r.email_id: (r.section_key, r.text, r.links) for r in N.with_envelopes(s, m).collect()}
+    assert got == {1: ("s0", "t", ["l"]), 2: ("s0", "whole", ["https://a"]), 3: ("s0", "", [])}
+    c = spark.createDataFrame([(1, 0, ["s0"], ["h"], "t")], "email_id long, chunk_index int, section_keys array<string>, headings array<string>, text string")
+    assert {(r.email_id, r.text, len(r.section_keys)) for r in N.or_empty_chunk(c, m).collect()} == {(1, "t", 1), (2, "", 0), (3, "", 0)}
