@@ -2,6 +2,7 @@
 
 import base64
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -134,3 +135,17 @@ def test_streaming_ingest(spark, tmp_path):
     spark.createDataFrame([("a", "a", "s", "y", None, None, []), ("b", "b", "s", "z", None, None, [])], MESSAGE_SCHEMA).write.mode("append").parquet(src)
     ingest_stream(spark, src, target, check).awaitTermination()
     assert {(r.message_id, r.subject) for r in R.snapshot(spark, target).collect()} == {("a", "y"), ("b", "z")}
+
+
+def test_scratch_tables_are_dropped(spark):
+    from galley.session import discard, materialize, scratch
+
+    with scratch(spark) as root:
+        a = materialize(spark.range(3).toDF("x"), "a")
+        b = materialize(a.where("x > 0"), "b")
+        assert a._scratch.startswith(root)
+        discard(a, b.where("x > 1"))
+        assert b.count() == 2 and not os.path.exists(a._scratch.removeprefix("file://"))
+        kept = b._scratch.removeprefix("file://")
+        assert os.path.exists(kept)
+    assert not os.path.exists(kept)
