@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from galley.session import materialize
+from galley.session import discard, materialize
 
 MAX_ROUNDS = 50
 
@@ -36,7 +36,8 @@ def connected_components(links: DataFrame, a: str, b: str) -> DataFrame:
     e = materialize(e, "links")
     state = None
     for _ in range(MAX_ROUNDS):
-        e = materialize(_small_star(_large_star(e)), "star")
+        before, e = e, materialize(_small_star(_large_star(e)), "star")
+        discard(before)
         now = e.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
         if state == tuple(now):
             break

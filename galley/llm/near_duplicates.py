@@ -55,7 +55,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from galley.llm.components import connected_components
-from galley.session import materialize
+from galley.session import discard, materialize
 
 #: Min-hash rows of a signature, and coordinates (several rows each).
 ROWS, COORDINATES = 64, 64
@@ -419,7 +419,10 @@ def near_duplicates(df: DataFrame, key: str, text: str, shingle: int = 5, thresh
     if not pairs.isEmpty():
         more = _verify(pairs, _texts_of(slim, pairs), shingle, threshold)
         star = comp.where("id <> component").select(F.col("component").alias("a"), F.col("id").alias("b"))
-        comp = materialize(connected_components(materialize(star.unionByName(more), "edges2"), "a", "b"), "components2")
+        edges = materialize(star.unionByName(more), "edges")
+        comp = materialize(connected_components(edges, "a", "b"), "components")
+    # the result reads the components alone
+    discard(distinct, merged, edges, pairs)
     return comp.where("id <> component").select(F.col("component").alias("first_id"), F.col("id").alias(key))
 
 
