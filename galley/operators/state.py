@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from galley.functions.predicates import unwrapped
+from galley.session import materialize
 
 
 def upsert_emails(emails: DataFrame, incoming: DataFrame, now: Column) -> DataFrame:
@@ -51,6 +52,8 @@ def with_new_ids(x: DataFrame, key: str, current: DataFrame, order: Column, buck
     Rows are numbered within their bucket and the buckets offset by a running
     count, so no task orders all new rows; equal input gives equal numbers.
     """
+    # read three times below: computed once, kept in the shared scratch folder
+    x = materialize(x, "unnumbered")
     fresh = x.where(F.col(key).isNull()).withColumn("_b", F.conv(F.substring(F.md5(order.cast("string")), 1, 2), 16, 10).cast("int") % buckets)
     counts = fresh.groupBy("_b").agg(F.count(F.lit(1)).alias("n"))
     before = counts.select("_b", F.coalesce(F.sum("n").over(Window.partitionBy(F.lit(0)).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))

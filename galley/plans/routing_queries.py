@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from galley.functions import predicates as P
+from galley.functions import rules
 from galley.operators import delivery as D
 from galley.operators import grouping as G
 from galley.operators import routing as T
 from galley.operators import sections as N
 from galley.operators import state as R
 from galley.plans import sql as SQL
-from galley.plans.section_queries import _DOM, _PROMO, _ROLES, _STRIPPABLE, NAVIGATION, PROMO, STORY
+from galley.plans.section_queries import _BLOCK, _DOM, _PROMO, _ROLES, _STRIPPABLE, NAVIGATION, PROMO, STORY
 from galley.plans.section_queries import ORACLE as SECTION_ORACLE
 from galley.session import table
 
@@ -127,6 +128,10 @@ _ENTRY = f"""ent AS (SELECT a.email_id, CASE WHEN r.category = 'RADAR' AND a.add
 # What a page is filled up with, by length only.
 _FILLER = "<p>" + "This page was filled up to its least length. " * 8 + "</p>"
 ORACLE = {
+    "q_c12_map_phase": f"""WITH b AS (SELECT email_id, order_index, id, unnest(string_split({_BLOCK}, chr(10))) AS line, generate_subscripts(string_split({_BLOCK}, chr(10)), 1) AS n FROM email_sections)
+        SELECT email_id, (row_number() OVER (PARTITION BY email_id ORDER BY order_index, id, n) - 1)::INT AS place, substr(line, 4) AS entity, (1 + length(substr(line, 4)) % 5)::INT AS importance FROM b WHERE starts_with(line, '## ')""",
+    "q_c05_units_scored": f"""{_UNITS}, {_ENTRY}, p AS (SELECT email_id, entry FROM ent WHERE entry IN ('LEADERSHIP', 'COURSES')), yy AS (SELECT z.*, entry, {SQL.hits("lower(concat_ws(' ', replace(h, '|', ' '), t))", rules.PROMO_KEYWORDS_SHORT)} >= 2 AS promo FROM z LEFT JOIN p USING (email_id))
+        SELECT CASE WHEN entry IS NOT NULL THEN entry WHEN promo THEN 'COURSES' WHEN length(t) > 800 THEN 'TECHNOLOGY' ELSE 'RADAR' END AS category, CASE WHEN entry IS NOT NULL THEN 'sender_prior' WHEN promo THEN 'heuristic' ELSE 'scorer' END AS source, count(*) AS n_units, 0::BIGINT AS n_errors FROM yy GROUP BY 1, 2""",
     "q_d16_registry": f"WITH {_ENTRY} SELECT email_id, entry FROM ent",
     "q_d14_stories": f"""WITH {_DOM}, s AS (SELECT email_id, path FROM story WHERE path IS NOT NULL), c AS (SELECT email_id, min(path) AS canon FROM s GROUP BY 1)
         SELECT DISTINCT email_id, CASE WHEN path = canon OR (split_part(path, '/', -1) <> '' AND split_part(path, '/', -1) = split_part(canon, '/', -1)) THEN canon ELSE path END AS path FROM s JOIN c USING (email_id)""",

@@ -281,6 +281,9 @@ ORACLE = {
         SELECT id, email_id, kind, 'legacy_email_level_processor' AS warning FROM x WHERE email_section_id IS NULL AND content_unit_key IS NULL AND kind <> 'ainews_radar_digest'
         UNION ALL SELECT id, email_id, kind, 'unit_processor_without_classifier' FROM x WHERE content_unit_key IS NOT NULL AND NOT EXISTS (SELECT 1 FROM k WHERE k.email_id = x.email_id AND k.content_unit_key = x.content_unit_key)
         UNION ALL SELECT id, email_id, kind, CASE WHEN coalesce(cat, '') NOT IN ('TECHNOLOGY', 'RADAR', 'LEADERSHIP', 'COURSES') THEN 'invalid_category' ELSE 'category_kind_mismatch' END FROM x WHERE coalesce(cat, '') NOT IN ('TECHNOLOGY', 'RADAR', 'LEADERSHIP', 'COURSES') OR cat <> {_OF}""",
+    "q_c01_scored": """WITH x AS (SELECT id, md5(text) AS h FROM email_sections WHERE text IS NOT NULL AND id NOT IN (SELECT email_section_id FROM agent_outputs WHERE kind = 'router' AND email_section_id IS NOT NULL)),
+            y AS (SELECT id, CAST('0x' || h[1:2] AS INT) AS a, CAST('0x' || h[3:4] AS INT) AS b, round(CAST('0x' || h[5:6] AS INT) / 255.0, 2) AS c FROM x)
+        SELECT id AS section_id, ['TECHNOLOGY', 'RADAR', 'LEADERSHIP', 'COURSES'][b % 4 + 1] AS category, CASE WHEN c < 0.55 THEN 'fail' WHEN c < 0.75 THEN 'warn' ELSE 'process' END AS band, CASE WHEN a % 5 = 0 THEN 2 ELSE 1 END AS attempts, CAST(NULL AS VARCHAR) AS error FROM y""",
     "q_c13_facts": f"""WITH {SQL.peeled()}, {_FACTS}, r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY importance DESC, entity NULLS FIRST, place) AS rank FROM facts WHERE importance > 2 AND NOT regexp_matches(concat_ws(' ', coalesce(entity, ''), coalesce(fact, '')), {SQL.q(rules.FACT_NOISE_PATTERN)}))
         SELECT id, place, entity, importance, rank::INT AS rank FROM r WHERE rank <= 3""",
     "q_c14_fallback": f"""WITH {SQL.peeled()}, {_FACTS}, kept AS (SELECT DISTINCT id FROM facts WHERE importance > 2 AND NOT regexp_matches(concat_ws(' ', coalesce(entity, ''), coalesce(fact, '')), '(?i)a')),
