@@ -49,7 +49,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from galley.llm.repeated_lines import keep_groups, repeated_groups
@@ -268,70 +268,83 @@ def _coded(line, kind: int):
     return (8 * line.cast("long") + kind).alias("hit")
 
 
+_LINE, _FRAME, _PAIR, _SHORT, _NAMED = range(5)
+
+
+def _entries(*pairs) -> Column:
+    """One struct (sort, group, extra) for each condition that holds."""
+    return F.array_compact(F.array(*[F.when(c, F.struct(F.lit(sort).alias("sort"), group.alias("group"), extra.cast("long").alias("extra"))) for c, sort, group, extra in pairs]))
+
+
 def _host_hits(lines: DataFrame) -> DataFrame:
     """k and hit of the lines that substrings repeated in MIN_PAGES distinct mails of one host cover.
 
     * round 0: lines of MIN_WORDS words word for word, and frames with as many different fillings;
     * round 1: shorter lines with the line before or behind them, if most of their mails on the host have both.
+
+    All substrings are grouped in one pass; only the positions of repeated ones are kept.
     """
-    body = ~_flag(HEADING)
-    one = lines.where((F.col("size") >= MIN_WORDS) & body).select("k", "doc", "line_no", F.xxhash64(F.lit(1), "host", "raw").alias("group"))
-    one = keep_groups(one, repeated_groups(one, MIN_PAGES)).select("k", "line_no")
+    body, none = ~_flag(HEADING), F.lit(0)
+    short = F.when(F.col("size") <= F.col("next_size"), F.col("raw")).otherwise(F.col("next_raw"))
+    pair = (F.col("after") >= 0) & (F.least("size", "next_size") > 0) & (F.least("size", "next_size") < MIN_WORDS) & (F.col("size") + F.col("next_size") >= MIN_WORDS)
+    entries = _entries(
+        ((F.col("size") >= MIN_WORDS) & body, _LINE, F.xxhash64(F.lit(_LINE), "host", "raw"), none),
+        (_flag(MASKED) & body & (F.col("plain") > 1), _FRAME, F.xxhash64(F.lit(_FRAME), "host", "frame"), F.col("raw")),
+        (pair, _PAIR, F.xxhash64(F.lit(_PAIR), "host", "raw", "next_raw"), F.xxhash64("host", short)),
+    )
+    x = lines.select("k", "doc", "line_no", "after", F.explode(entries).alias("e")).select("k", "doc", "line_no", "after", "e.sort", "e.group", "e.extra")
+    kept = materialize(keep_groups(x, repeated_groups(x, MIN_PAGES)).drop("doc"), "host")
+    of = lambda sort: kept.where(F.col("sort") == sort)
 
-    framed = lines.where(_flag(MASKED) & body & (F.col("plain") > 1)).select("k", "doc", "line_no", "raw", F.xxhash64(F.lit(3), "host", "frame").alias("group"))
-    often = repeated_groups(framed, MIN_PAGES)
-    filled = keep_groups(framed, often).select("group", "raw", "n_docs").distinct().groupBy("group").agg(F.count(F.lit(1)).alias("fillings"), F.max("n_docs").alias("n_docs"))
-    framed = keep_groups(framed.select("k", "line_no", "group"), filled.where((F.col("fillings") >= MIN_PAGES) & (F.col("fillings") >= VARIETY * F.col("n_docs"))).select("group", "n_docs")).select("k", "line_no")
+    filled = of(_FRAME).select("group", "extra", "n_docs").distinct().groupBy("group").agg(F.count(F.lit(1)).alias("fillings"), F.max("n_docs").alias("n_docs"))
+    filled = filled.where((F.col("fillings") >= MIN_PAGES) & (F.col("fillings") >= VARIETY * F.col("n_docs")))
+    framed = keep_groups(of(_FRAME).select("k", "line_no", "group"), filled).select("k", "line_no")
 
-    short = F.when(F.col("size") <= F.col("next_size"), F.col("raw")).otherwise(F.col("next_raw"))
-    two = lines.where((F.col("after") >= 0) & (F.least("size", "next_size") > 0) & (F.least("size", "next_size") < MIN_WORDS) & (F.col("size") + F.col("next_size") >= MIN_WORDS))
-    two = two.select("k", "doc", F.array("line_no", "after").alias("nos"), F.xxhash64(F.lit(2), "host", "raw", "next_raw").alias("group"), F.xxhash64("host", short).alias("short"))
-    pairs = repeated_groups(two, MIN_PAGES).join(two.select("group", "short").distinct(), "group")
-    alone = lines.where((F.col("size") > 0) & (F.col("size") < MIN_WORDS)).select("doc", F.xxhash64("host", "raw").alias("short")).distinct().groupBy("short").agg(F.count(F.lit(1)).alias("n"))
-    pairs = pairs.join(alone, "short").where("2 * n_docs > n").select("group", "n_docs")
-    two = keep_groups(two.select("k", "nos", "group"), pairs).select("k", F.explode("nos").alias("line_no"))
+    alone = lines.where((F.col("size") > 0) & (F.col("size") < MIN_WORDS)).select("doc", F.xxhash64("host", "raw").alias("extra")).distinct().groupBy("extra").agg(F.count(F.lit(1)).alias("n"))
+    pairs = of(_PAIR).select("group", "extra", "n_docs").distinct().join(alone, "extra").where("2 * n_docs > n").select("group", "n_docs")
+    two = keep_groups(of(_PAIR).select("k", F.array("line_no", "after").alias("nos"), "group"), pairs).select("k", F.explode("nos").alias("line_no"))
 
-    return one.unionByName(framed).unionByName(two).select("k", _coded(F.col("line_no"), REPEATED))
+    return of(_LINE).select("k", "line_no").unionByName(framed).unionByName(two).select("k", _coded(F.col("line_no"), REPEATED))
 
 
-def _shared_groups(lines: DataFrame) -> DataFrame:
-    """group, sort, varied and head of what MIN_HOSTS hosts share on MIN_PAGES pages: frames, short lines, labels with a masked place.
+def _shared_hits(read: DataFrame, lines: DataFrame) -> DataFrame:
+    """k and hit of what MIN_HOSTS hosts share on MIN_PAGES pages: frames, short lines, labels with a masked place; and of labels and words that are such short lines.
 
     Two steps, both pre-aggregated: rows per group first, as nearly all groups
     stand once; distinct pages, hosts and fillings of the few that are left.
     """
     is_short = ~_flag(MASKED) & F.col("size").between(1, MIN_WORDS - 1)
     is_frame = (_flag(MASKED) & (F.col("plain") > 0)) | (~_flag(MASKED) & ~_flag(SENTENCE) & (F.col("size") >= MIN_WORDS))
-    entry = lambda sort, group: F.struct(F.lit(sort).alias("sort"), group.alias("group"))
-    entries = F.array_compact(F.array(F.when(is_frame, entry("frame", F.col("frame"))), F.when(is_short, entry("short", F.col("raw"))), F.when(_flag(NAMED_LABEL) & ~_flag(SENTENCE), entry("label", F.col("label")))))
-    x = lines.select("k", "host", "raw", _flag(HEADING).alias("head"), _flag(MASKED).alias("masked"), _flag(NEXT_TITLE).alias("titled"), F.explode(entries).alias("e")).select("*", "e.sort", "e.group").drop("e")
+    keyed = lambda sort, value: F.xxhash64(F.lit(sort), value)
+    entries = _entries((is_frame, _FRAME, keyed(_FRAME, "frame"), F.lit(0)), (is_short, _SHORT, keyed(_SHORT, "raw"), F.lit(0)), (_flag(NAMED_LABEL) & ~_flag(SENTENCE), _NAMED, keyed(_NAMED, "label"), F.lit(0)))
+    x = lines.select("k", "line_no", "host", "raw", _flag(HEADING).alias("head"), _flag(MASKED).alias("masked"), _flag(NEXT_TITLE).alias("titled"), F.explode(entries).alias("e")).select("*", "e.sort", "e.group").drop("e")
     body = ~F.col("head")
-    counted = x.groupBy("sort", "group").agg(F.sum(body.cast("int")).alias("n"), F.sum(F.col("head").cast("int")).alias("n_head"), F.sum((body & F.col("titled")).cast("int")).alias("n_titled"), F.max("masked").alias("masked"))
+    counted = x.groupBy("group").agg(F.sum(body.cast("int")).alias("n"), F.sum(F.col("head").cast("int")).alias("n_head"), F.sum((body & F.col("titled")).cast("int")).alias("n_titled"), F.max("masked").alias("masked"))
     counted = counted.where((F.col("n") >= MIN_PAGES) & (F.col("n") > F.col("n_head")))
-    rest = keep_groups(x.where(body).select("k", "host", "raw", "sort", "group"), counted.select("group", F.col("n").alias("n_docs"))).drop("n_docs").distinct()
-    per_host = rest.groupBy("sort", "group", "host", "raw").agg(F.count(F.lit(1)).alias("n"))
-    hosts = per_host.select("sort", "group", "host").distinct().groupBy("sort", "group").agg(F.count(F.lit(1)).alias("hosts"))
-    fillings = per_host.select("sort", "group", "raw").distinct().groupBy("sort", "group").agg(F.count(F.lit(1)).alias("fillings"))
-    pages = rest.select("sort", "group", "k").distinct().groupBy("sort", "group").agg(F.count(F.lit(1)).alias("pages"))
-    y = counted.join(hosts, ["sort", "group"]).join(fillings, ["sort", "group"]).join(pages, ["sort", "group"]).where((F.col("hosts") >= MIN_HOSTS) & (F.col("pages") >= MIN_PAGES))
+    often = F.struct("n", "n_titled", "masked").alias("n_docs")
+    rest = materialize(keep_groups(x.select("k", "line_no", "host", "raw", "head", "sort", "group"), counted.select("group", often)).select("*", "n_docs.*").drop("n_docs"), "often")
+
+    told = rest.where(body).select("k", "host", "raw", "group", "n", "n_titled", "masked").distinct()
+    per_host = told.groupBy("group", "host", "raw", "n", "n_titled", "masked").agg(F.count(F.lit(1)).alias("rows"))
+    hosts = per_host.select("group", "host").distinct().groupBy("group").agg(F.count(F.lit(1)).alias("hosts"))
+    fillings = per_host.select("group", "raw", "n", "n_titled", "masked").distinct().groupBy("group", "n", "n_titled", "masked").agg(F.count(F.lit(1)).alias("fillings"))
+    pages = told.select("group", "k").distinct().groupBy("group").agg(F.count(F.lit(1)).alias("pages"))
+    y = fillings.join(hosts, "group").join(pages, "group").where((F.col("hosts") >= MIN_HOSTS) & (F.col("pages") >= MIN_PAGES))
     varied = F.col("masked") & (F.col("fillings") >= F.greatest(F.lit(MIN_HOSTS), VARIETY * F.col("hosts")))
-    return y.select("sort", "group", varied.alias("varied"), (F.col("n_titled") >= HEAD_SHARE * F.col("n")).alias("head"))
-
-
-def _shared_hits(read: DataFrame, lines: DataFrame) -> DataFrame:
-    """k and hit of the lines, labels and words that many hosts share."""
-    groups = materialize(_shared_groups(lines), "shared")
-    of = lambda sort: groups.where(F.col("sort") == sort).select("group", F.struct("varied", "head").alias("n_docs"))
-    frames = keep_groups(lines.where(~_flag(HEADING)).select("k", "line_no", F.col("frame").alias("group")), of("frame"))
-    frames = frames.select("k", _coded(F.col("line_no"), 0) + F.when(F.col("n_docs.varied"), REPEATED).otherwise(CONSTANT))
-    short = keep_groups(lines.where(F.col("size").between(1, MIN_WORDS - 1)).select("k", "line_no", F.col("raw").alias("group")), of("short"))
-    short = short.select("k", _coded(F.col("line_no"), 0) + F.when(F.col("n_docs.head"), LIST_HEAD).otherwise(SHORT))
-    labels = lines.where("label <> 0").select("k", "line_no", F.col("label").alias("group"))
-    named = keep_groups(labels, of("label").where("n_docs.varied")).unionByName(keep_groups(labels, of("short"))).select("k", _coded(F.col("line_no"), LABEL))
-    words = read.select("k", F.explode(F.arrays_zip("menu_line", "menu_word")).alias("m")).select("k", F.col("m.menu_line").alias("line_no"), F.col("m.menu_word").alias("group"))
-    menu = keep_groups(words, of("short")).select("k", _coded(F.col("line_no"), MENU_WORD))
-    parts = [d.toDF("k", "hit") for d in (frames, short, named, menu)]
-    return parts[0].union(parts[1]).union(parts[2]).union(parts[3])
+    groups = materialize(y.select("group", F.struct(varied.alias("varied"), (F.col("n_titled") >= HEAD_SHARE * F.col("n")).alias("opens")).alias("n_docs")), "shared")
+
+    found = keep_groups(rest.select("k", "line_no", "head", "sort", "group"), groups)
+    kind = (
+        F.when((F.col("sort") == _FRAME) & body, F.when(F.col("n_docs.varied"), REPEATED).otherwise(CONSTANT))
+        .when(F.col("sort") == _SHORT, F.when(F.col("n_docs.opens"), LIST_HEAD).otherwise(SHORT))
+        .when((F.col("sort") == _NAMED) & F.col("n_docs.varied"), LABEL)
+    )
+    found = found.select("k", (8 * F.col("line_no").cast("long") + kind).alias("hit")).where("hit is not null")
+
+    labels = lines.where("label <> 0").select("k", "line_no", F.lit(LABEL).alias("kind"), keyed(_SHORT, "label").alias("group"))
+    words = read.select("k", F.explode(F.arrays_zip("menu_line", "menu_word")).alias("m")).select("k", F.col("m.menu_line").alias("line_no"), F.lit(MENU_WORD).alias("kind"), keyed(_SHORT, "m.menu_word").alias("group"))
+    looked = keep_groups(labels.unionByName(words), groups).select("k", (8 * F.col("line_no").cast("long") + F.col("kind")).alias("hit"))
+    return found.union(looked)
 
 
 def furniture_lines(sections: DataFrame, emails: DataFrame, key: str = "id") -> DataFrame:
