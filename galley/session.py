@@ -6,6 +6,8 @@ import atexit
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -55,6 +57,19 @@ def scratch_root(spark: SparkSession) -> str:
     return _scratch_roots[key]
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[str]:
+    """The scratch tables written inside the block, dropped at its end; their results have to be stored by then."""
+    key, outer = id(spark.sparkContext), scratch_root(spark)
+    inner = f"{outer}/block-{uuid.uuid4().hex[:12]}"
+    _scratch_roots[key] = inner
+    try:
+        yield inner
+    finally:
+        _scratch_roots[key] = outer
+        _remove(spark, inner)
+
+
 def _remove(spark: SparkSession, root: str) -> None:
     try:
         jvm = spark._jvm
@@ -73,7 +88,17 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Drops tables that ``materialize`` gave and nothing reads any more."""
+    for t in tables:
+        path = getattr(t, "_scratch", None)
+        if path:
+            _remove(t.sparkSession, path)
 
 
 def parallelism(spark: SparkSession) -> int:
